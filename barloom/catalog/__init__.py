@@ -1,10 +1,10 @@
 """Registered queries over the given tables, each beside its SQL."""
 
-from barloom.catalog import indicators
+from barloom.catalog import indicators, recursive
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (indicators,):
+for _part in (indicators, recursive):
     clash = QUERIES.keys() & _part.QUERIES.keys()
     if clash:
         raise ValueError(f"query registered twice: {sorted(clash)}")

@@ -39,7 +39,7 @@ def full(agg: str, x: str, n: int, mp: int | None = None, lag: int = 0) -> str:
 BASE = f"""
 b0 AS (SELECT *, lag(close) OVER ({W}) AS pc, lag(open) OVER ({W}) AS po, lag(high) OVER ({W}) AS ph,
               lag(low) OVER ({W}) AS pl, lag(volume) OVER ({W}) AS pv, row_number() OVER ({W}) AS pos FROM bars),
-b AS (SELECT *, close - pc AS d, (high + low + close) / 3 AS tp,
+b AS MATERIALIZED (SELECT *, close - pc AS d, (high + low + close) / 3 AS tp,
              greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,
              ln(close) - ln(pc) AS r, CASE WHEN pv <> 0 THEN (volume - pv) / pv END AS dv FROM b0)"""
 
@@ -47,7 +47,7 @@ b AS (SELECT *, close - pc AS d, (high + low + close) / 3 AS tp,
 def sql(periods: tuple[str, ...], ctes: str, cols: list[str], src: str, ints: tuple[str, ...] = ()) -> str:
     sel = ", ".join(c if c in ints else settle_sql(c) for c in cols)
     extra = f",\n{ctes}" if ctes else ""
-    return f"WITH {bars_sql(*periods)},{BASE}{extra}\nSELECT symbol, period, timestamp, {sel} FROM {src}"
+    return f"WITH RECURSIVE {bars_sql(*periods)},{BASE}{extra}\nSELECT symbol, period, timestamp, {sel} FROM {src}"
 
 
 ALL = ("1h", "4h", "1d")
