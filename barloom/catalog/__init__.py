@@ -1,10 +1,10 @@
 """Registered queries over the given tables, each beside its SQL."""
 
-from barloom.catalog import features, indicators, recursive
+from barloom.catalog import auditing, features, fusing, indicators, recursive
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (indicators, recursive, features):
+for _part in (indicators, recursive, features, fusing, auditing):
     clash = QUERIES.keys() & _part.QUERIES.keys()
     if clash:
         raise ValueError(f"query registered twice: {sorted(clash)}")

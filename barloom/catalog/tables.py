@@ -112,7 +112,7 @@ SELECT c_mktsegment AS symbol, (epoch_ms(l_shipdate) // {step}) * {step} AS time
        l_extendedprice / l_quantity AS price, l_quantity AS vol, l_orderkey AS k1, l_linenumber AS k2
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
     return f"""ticks_{p} AS (
-SELECT event_type AS symbol, (epoch_ms(ts) // {step}) * {step} AS timestamp, epoch_ms(ts) AS ms,
+SELECT event_type AS symbol, (epoch_us(ts) // {step * 1000}) * {step} AS timestamp, epoch_us(ts) // 1000 AS ms,
        value AS price, CAST(1 AS DOUBLE) AS vol, epoch_us(ts) AS k1, event_id AS k2 FROM events)"""
 
 
@@ -148,5 +148,5 @@ SERIES_SQL = """
 sym AS (SELECT epoch_ms(o_orderdate) AS timestamp, c_mktsegment AS symbol, sum(o_totalprice) AS order_value,
                count(*) AS order_count
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-glob AS (SELECT epoch_ms(o_orderdate) AS timestamp, avg(o_totalprice) AS avg_price
+mkt AS (SELECT epoch_ms(o_orderdate) AS timestamp, avg(o_totalprice) AS avg_price
          FROM orders WHERE day(o_orderdate) % 7 <> 0 GROUP BY 1)"""

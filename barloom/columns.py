@@ -67,8 +67,8 @@ def feature_candidates(columns: Iterable[str], allow: Iterable[str] | None = Non
 
 
 def normalise_name(name: str) -> str:
-    """Lower case, dashes and blanks to underscores, no outer blanks."""
-    return re.sub(r"[\s\-–—]+", "_", name.strip().lower())
+    """Lower case; every run of blanks, dashes, slashes or other signs is one underscore, none outside."""
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
 
 def norm_suffixes(period: str) -> tuple[str, str]:
