@@ -14,7 +14,7 @@ def canonical_symbol(c: Column) -> Column:
     """btcusdt, BTC/USDT, BTC-USDT and BTC/USDT:USDT all become BTC_USDT."""
     s = F.upper(F.trim(without_settlement(F.trim(c))))
     s = F.regexp_replace(s, r"[/\-]", "_")
-    return F.when(~s.contains("_"), F.regexp_replace(s, r"^(.+)(USDT)$", "$1_$2")).otherwise(s)
+    return F.when(~s.contains("_"), F.regexp_replace(s, r"^([A-Z]+)(USDT|USD|BUSD|USDC)$", "$1_$2")).otherwise(s)
 
 
 def coin(c: Column) -> Column:

@@ -8,16 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Period aliases and unit lengths in ms.
 PERIOD_ALIASES = {
-    "1h": 3_600_000,
-    "h": 3_600_000,
-    "hour": 3_600_000,
-    "60m": 3_600_000,
-    "4h": 14_400_000,
-    "240m": 14_400_000,
-    "1d": 86_400_000,
-    "d": 86_400_000,
-    "day": 86_400_000,
-    "24h": 86_400_000,
+    3_600_000: ("1h", "h1", "60m", "60min", "60minutes"),
+    14_400_000: ("4h", "h4", "240m", "240min", "240minutes"),
+    86_400_000: ("1d", "d", "1day", "day", "24h"),
 }
 UNIT_MS = {"ms": 1, "s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
@@ -42,21 +35,15 @@ def epoch_ms(c: Column) -> Column:
 def with_epoch_ms(df: DataFrame, col: str) -> DataFrame:
     """Column rule: a median of at most ten digits means the whole column holds seconds.
 
-    The digit counts take at most twenty values, so their histogram is one small row and the
-    median is read from it without sorting the data.
+    The median is at most ten exactly when more than half of the values are that short, so two
+    counters replace the sort.
     """
     digits = F.length(F.abs(F.col(col).cast("long")).cast("string"))
-    counts = [F.count(F.when(digits == d, 1)).alias(f"_d{d}") for d in range(1, 21)]
-    hist = df.agg(F.count(col).alias("_n"), *counts)
-    small = sum((F.col(f"_d{d}") for d in range(2, 11)), F.col("_d1"))
-    # the average of the two middle values is at most 10 when the upper middle one is
-    upto = F.when(small * 2 > F.col("_n"), F.lit(1000)).otherwise(F.lit(1)).cast("long")
-    scale = hist.select(upto.alias("_scale"))
-    return (
-        df.join(F.broadcast(scale), how="inner")  # one row by construction
-        .withColumn(col, F.col(col).cast("long") * F.col("_scale"))
-        .drop("_scale")
-    )
+    hist = df.agg(F.count(col).alias("n"), F.count_if(digits <= 10).alias("short"))
+    # at most ten digits at the upper middle position
+    seconds = hist.select((F.col("short") * 2 > F.col("n")).alias("seconds")).scalar()
+    n = F.col(col).cast("long")
+    return df.withColumn(col, F.when(seconds, n * 1000).otherwise(n))
 
 
 def parse_datetime(c: Column) -> Column:
@@ -91,16 +78,16 @@ def floor_step(ts: Column, step: int | Column) -> Column:
 
 
 def period_ms(c: Column) -> Column:
-    """Period text to ms: known aliases, else a count with unit ms, s, m, h or d; a bare number is ms."""
-    s = F.lower(F.trim(c.cast("string")))
+    """Period text to ms: known aliases, else a count with unit ms, s, m, h or d; NULL for anything else."""
+    s = F.replace(F.lower(F.trim(c.cast("string"))), F.lit(" "), F.lit(""))
     out = F.when(F.lit(False), F.lit(0).cast("long"))
-    for alias, ms in PERIOD_ALIASES.items():
-        out = out.when(s == alias, F.lit(ms).cast("long"))
-    count = F.regexp_extract(s, r"^(\d+)\s*(ms|s|m|h|d)?$", 1).try_cast("long")
-    unit = F.regexp_extract(s, r"^(\d+)\s*(ms|s|m|h|d)?$", 2)
+    for ms, aliases in PERIOD_ALIASES.items():
+        out = out.when(s.isin(*aliases), F.lit(ms).cast("long"))
+    count = F.regexp_extract(s, r"^(\d+)(ms|s|m|h|d)$", 1).try_cast("long")
+    unit = F.regexp_extract(s, r"^(\d+)(ms|s|m|h|d)$", 2)
     for u, ms in UNIT_MS.items():
-        out = out.when(unit == u, count * F.lit(ms))
-    return out.otherwise(count)
+        out = out.when(unit == u, count * F.lit(ms).cast("long"))
+    return out
 
 
 def date_text_ms(c: Column, fmt: str = "yyyy/MM/dd") -> Column:
