@@ -61,14 +61,14 @@ def top_null_columns(df: DataFrame, cols: Sequence[str], k: int = 30) -> DataFra
 
 
 def feature_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, coverage, variance) of each column."""
-    wide = df.agg(
-        *[
-            F.struct(F.avg(F.col(c).isNotNull().cast("double")).alias("coverage"), F.var_samp(F.col(c).cast("double")).alias("variance")).alias(c)
-            for c in cols
-        ]
+    """(feature, coverage, variance) of each column.
+
+    Long rows and two aggregates, combined map-side, rather than two aggregates per column: one
+    generated method for hundreds of columns would be too large to compile.
+    """
+    return long_form(df, [], cols).groupBy("feature").agg(
+        F.avg(F.col("value").isNotNull().cast("double")).alias("coverage"), F.var_samp("value").alias("variance")
     )
-    return wide.unpivot([], list(cols), "feature", "_m").select("feature", "_m.coverage", "_m.variance")
 
 
 def column_health(df: DataFrame, cols: Sequence[str], limit: float = 6.0) -> DataFrame:

@@ -7,7 +7,7 @@ range; the sketch only balances the ranges, the ranks are exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,21 +23,32 @@ def long_form(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str
     return wide.unpivot(list(ids), list(cols), name, value)
 
 
-def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per (keys, distinct value): n, before (rows with a smaller value), total (known rows)."""
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per (keys, distinct value): n, before (rows with a smaller value), total (known rows).
+
+    Each entry of `sums` adds name, before_name and total_name, counted the same way.
+    """
     if not keys:
-        whole = ranked_values(df.withColumn("_all", F.lit(0)), ["_all"], value)
+        whole = ranked_values(df.withColumn("_all", F.lit(0)), ["_all"], value, sums)
         return whole.drop("_all")
+    measures = {"n": F.lit(1).cast("long"), **(sums or {})}
     known = df.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy(*keys, value).agg(*[F.sum(x).alias(m) for m, x in measures.items()])
     probs = F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])
+    name = lambda prefix, m: prefix if m == "n" else f"{prefix}_{m}"
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, F.lit(1000)).alias("_cuts"), F.sum("n").alias("total")
+        F.percentile_approx(value, probs, F.lit(1000)).alias("_cuts"),
+        *[F.sum(m).alias(name("total", m)) for m in measures],
     )
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     placed = counts.join(cuts, list(keys)).withColumn("_range", below).drop("_cuts")
-    return bucketed_scan(placed, keys, [value], "_range", sums={"_upto": F.col("n")}).select(
-        *keys, value, "n", (F.col("_upto") - F.col("n")).alias("before"), "total"
+    scanned = bucketed_scan(placed, keys, [value], "_range", sums={f"_upto_{m}": F.col(m) for m in measures})
+    return scanned.select(
+        *keys,
+        value,
+        *measures,
+        *[(F.col(f"_upto_{m}") - F.col(m)).alias(name("before", m)) for m in measures],
+        *[name("total", m) for m in measures],
     )
 
 
