@@ -9,6 +9,7 @@ from barloom.catalog.indicators import KEY, W, full
 from barloom.catalog.tables import bars, bars_sql, settle_sql, settled, table
 from barloom.operators import metrics, splits, stacking
 from barloom.operators.chunks import halo_chunks
+from barloom.sources.staging import staged
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -182,12 +183,11 @@ def labelled_bars(spark, sf) -> DataFrame:
     pc, pc2 = F.lag("close").over(ck.w), F.lag("close", 2).over(ck.w)
     ph, pl = F.lag("high").over(ck.w), F.lag("low").over(ck.w)
     df = ck.df.withColumns({"x_mom": pc / pc2 - 1, "x_rng": (ph - pl) / pc, "target_up": (F.col("close") > F.col("open")).cast("int")})
-    return ck.owned(df)
+    return staged(ck.owned(df), "labelled")
 
 
-def predictions(spark, sf) -> DataFrame:
-    """Long predictions of two pseudo-experts with constant versions."""
-    df = labelled_bars(spark, sf)
+def predictions(df) -> DataFrame:
+    """Long predictions of two pseudo-experts on `labelled_bars`, with constant versions."""
     out = None
     for expert, x in (("mom", "x_mom"), ("rng", "x_rng")):
         one = df.filter(F.col(x).isNotNull()).select(
@@ -209,7 +209,7 @@ _ROW = ["symbol", "period", "time_idx"]
 
 @query
 def prediction_pivot(spark, sf):
-    p = predictions(spark, sf)
+    p = predictions(labelled_bars(spark, sf))
     return settled(stacking.pivot_predictions(p, stacking.experts_and_targets(p)), _ROW)
 
 
@@ -218,7 +218,7 @@ ORACLE["prediction_pivot"] = f"WITH {PRED_SQL} SELECT symbol, period, time_idx,
 
 @query
 def version_consistency(spark, sf):
-    return stacking.version_counts(predictions(spark, sf))
+    return stacking.version_counts(predictions(labelled_bars(spark, sf)))
 
 
 ORACLE["version_consistency"] = f"""WITH {PRED_SQL} SELECT 's1' AS schema_ver, 'd1' AS data_ver, 'e1' AS expert_ver, 'w1' AS train_window_id,
@@ -229,7 +229,8 @@ _STACK = [*_WIDE, "realized_vol", "momentum_fast", "momentum_slow", "structural_
 
 @query
 def stacking_table(spark, sf):
-    out = stacking.stacking_table(predictions(spark, sf), labelled_bars(spark, sf), ["target_up"])
+    df = labelled_bars(spark, sf)
+    out = stacking.stacking_table(predictions(df), df, ["target_up"])
     return settled(out, [*_ROW, "target_up"], _STACK)
 
 
@@ -241,9 +242,10 @@ SELECT symbol, period, time_idx, target_up, {settle_all(*_STACK)} FROM pv JOIN r
 
 
 def _parts(spark, sf):
-    p = predictions(spark, sf)
+    df = labelled_bars(spark, sf)
+    p = predictions(df)
     wide = stacking.pivot_predictions(p, stacking.experts_and_targets(p))
-    rows = wide.join(labelled_bars(spark, sf).select(*_ROW, "target_up"), _ROW)
+    rows = staged(wide.join(df.select(*_ROW, "target_up"), _ROW), "stack")
     return splits.three_way_split(rows), stacking.stack_features(rows.columns)
 
 

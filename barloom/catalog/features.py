@@ -11,6 +11,7 @@ from barloom.catalog.tables import bars, bars_sql, settle_sql, settled
 from barloom.operators import indicators as ind, labels, market, norms
 from barloom.operators.chunks import time_bucket
 from barloom.schema import PERIODS
+from barloom.sources.staging import staged
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -47,7 +48,8 @@ _SLICE = ["rsi", "boll_upper", "boll_lower", "close_zn96", "target_binarytrend"]
 @query
 def feature_label_slice(spark, sf):
     df = ind.compute(bars(spark, sf, "1h"), ["relative_strength", "bollinger"])
-    df = labels.with_future_close(norms.rolling_norms(df, ["close"], 96, methods=("z",)))
+    df = norms.rolling_norms(staged(df, "indicators"), ["close"], 96, methods=("z",))
+    df = labels.with_future_close(staged(df, "norms"))
     up = F.coalesce((F.col("future_close") > F.col("close")).cast("int"), F.lit(0))
     return settled(df.withColumn("target_binarytrend", up), KEY, _SLICE)
 
@@ -105,7 +107,8 @@ ORACLE["rolling_norms"] = union_sql(_norms_sql)
 def lag_guard_and_slopes(spark, sf):
     """The 24h differences and slopes of lagged indicators."""
     df = ind.compute(bars(spark, sf, "4h"), ["relative_strength", "money_flow"])
-    df = norms.differences_and_slopes(norms.lag_guard(df.select(*KEY, "stoch_rsi", "mfi")), "4h")
+    df = norms.lag_guard(staged(df.select(*KEY, "stoch_rsi", "mfi"), "indicators"))
+    df = norms.differences_and_slopes(staged(df, "lagged"), "4h")
     return settled(df, KEY)
 
 
@@ -344,7 +347,7 @@ _LABEL_INTS = (
 
 def _labelled(b, p, forward=False):
     df = ind.compute(b, ["true_range"]).select(*KEY, "open", "high", "low", "close", "volume", "atr")
-    return labels.with_labels(df, p, forward)
+    return labels.with_labels(staged(df, "indicators"), p, forward)
 
 
 # The first-bar tie rule: a drawdown of a running total is compared with zero, so it is settled first.

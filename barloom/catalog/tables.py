@@ -5,16 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from barloom.sources.bars import ticks_to_bars
+from barloom.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One given table; zone-less times are read as UTC instants."""
+    """One given table; zone-less times are read as UTC instants. A schema is inferred once per path."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_schemas[path]).parquet(path)
     plain = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
@@ -89,12 +97,16 @@ def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str, *periods: str) -> DataFrame:
-    """Bars of the given periods (all three when none is named)."""
+    """Bars of the given periods (all three when none is named), written once per call.
+
+    The operators read their bars more than once (layout, carry-ins, values), so the joins and
+    aggregations that build them are cut off here by a table in the shared folder.
+    """
     out = None
     for p in periods or ("1h", "4h", "1d"):
         one = bars_daily(spark, sf) if p == "1d" else bars_intraday(spark, sf, p)
         out = one if out is None else out.unionByName(one)
-    return out
+    return staged(out, "bars")
 
 
 _SQL_SHAPE = """

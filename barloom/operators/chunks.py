@@ -10,6 +10,9 @@ frames in use, summed over nesting.
 The layout comes from one map-side-combined count per (group, time bucket). Frames count rows, not
 time, so gaps do not matter: a borrowed bucket is chosen by its row numbers. The layout is smaller
 than the data by the bucket length; whether it is broadcast is Spark's decision by its size.
+
+The input is read twice, once for the counts (keys and time only) and once for the values, so an
+input that is expensive to compute belongs in a staged table first (`barloom.sources.staging`).
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from barloom.schema import KEYS, TIME, step_ms
 CHUNK_ROWS_CONF = "barloom.chunk.rows"
 BUCKET_ROWS_CONF = "barloom.bucket.rows"
 DEFAULT_CHUNK_ROWS = 16_384
-DEFAULT_BUCKET_ROWS = 1_024
+DEFAULT_BUCKET_ROWS = 256
+MIN_CHUNK_ROWS = 512
 
-_CHUNK, _OWN, _BUCKET = "_chunk", "_own", "_bucket"
+_CHUNK, _OWN, _BUCKET, _BEFORE = "_chunk", "_own", "_bucket", "_before"
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -51,18 +55,19 @@ class Chunked:
     def w(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, _CHUNK).orderBy(self.order)
 
+    def position(self) -> Column:
+        """0-based row number in the whole group: rows before the chunk's first row, which starts a
+        bucket, plus the row's place in the chunk."""
+        first = F.first(_BEFORE).over(self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return first + F.row_number().over(self.w) - 1
+
     @property
     def chunk_keys(self) -> list[str]:
         return [*self.keys, _CHUNK]
 
-    def but(self, df: DataFrame) -> Chunked:
-        return Chunked(df, self.keys, self.order)
-
-    def owned(self, df: DataFrame | None = None, keep_chunk: bool = False) -> DataFrame:
+    def owned(self, df: DataFrame) -> DataFrame:
         """Drop borrowed rows and every helper column (leading underscore)."""
-        df = (self.df if df is None else df).filter(_OWN)
-        keep = {_CHUNK} if keep_chunk else set()
-        return df.drop(*[c for c in df.columns if c.startswith("_") and c not in keep])
+        return df.filter(_OWN).drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def halo_chunks(
@@ -73,18 +78,27 @@ def halo_chunks(
     order: str = TIME,
     bucket: Column | None = None,
 ) -> Chunked:
-    size = _conf_int(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = _conf_int(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS)
+    least = min(most, max(MIN_CHUNK_ROWS, 2 * (back + ahead)))
     bucket = time_bucket(df, order) if bucket is None else bucket
     df = df.withColumn(_BUCKET, bucket)
 
     group = Window.partitionBy(*keys)
     earlier = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    before, n = F.col("_before"), F.col("_n")
-    chunk_of = lambda row: F.floor(row / F.lit(size))
+    before, n, size = F.col(_BEFORE), F.col("_n"), F.col("_size")
+    chunk_of = lambda row: F.floor(row / size)
     layout = (
         df.groupBy(*keys, _BUCKET)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_widest": F.max("_n").over(group)})
+        .withColumns(
+            {
+                _BEFORE: F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+                "_widest": F.max("_n").over(group),
+                # short groups are cut finer, as long as the halo stays a fraction of the chunk
+                "_size": F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.sum("_n").over(group) / parts))),
+            }
+        )
         .withColumn("_home", chunk_of(before))
         .withColumns(
             {
@@ -94,12 +108,14 @@ def halo_chunks(
                 "_hi": F.least(chunk_of(before + n + back - 1), F.max("_home").over(group)) if back else F.col("_home"),
             }
         )
-        .select(*keys, _BUCKET, "_home", "_lo", "_hi")
+        .select(*keys, _BUCKET, _BEFORE, "_home", "_lo", "_hi")
     )
     spread = (
         df.join(layout, [*keys, _BUCKET])
         .withColumn(_CHUNK, F.explode(F.sequence(F.least("_lo", "_home"), F.greatest("_hi", "_home"))))
         .withColumn(_OWN, F.col(_CHUNK) == F.col("_home"))
         .drop("_home", "_lo", "_hi", _BUCKET)
+        # chunks are even, so hashing them balances; merging partitions by bytes would undo the cut
+        .repartition(parts, *keys, _CHUNK)
     )
     return Chunked(spread, tuple(keys), order)

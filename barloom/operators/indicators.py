@@ -182,9 +182,9 @@ def supertrend(df, w):
     return df.withColumn("_cross", F.when(close_() > F.col("_pup"), 1).when(close_() < F.col("_plo"), 0))
 
 
-def finish_supertrend(df: DataFrame) -> DataFrame:
+def finish_supertrend(df: DataFrame, light: DataFrame) -> DataFrame:
     """Carry the last crossing along the whole group; trends start upward, the first bar has no band."""
-    df = bucketed_scan(df, KEYS, [TIME], "_chunk", lasts={"_trend": F.col("_cross")})
+    df = bucketed_scan(df, KEYS, [TIME], "_chunk", lasts={"_trend": F.col("_cross")}, carry_from=light)
     rising = F.coalesce(F.col("_trend"), F.lit(1)) == 1
     band = F.when(rising, F.col("_band_lo")).otherwise(F.col("_band_up"))
     return df.withColumn("supertrend_10_3", F.when(F.col("_pc").isNull(), 0.0).otherwise(safe(band)))
@@ -285,11 +285,10 @@ def on_balance(df, w):
     )
 
 
-def finish_totals(df: DataFrame) -> DataFrame:
+def finish_totals(df: DataFrame, light: DataFrame) -> DataFrame:
     """obv, obv_pct and the cumulative vwap over whole groups."""
-    df = bucketed_scan(
-        df, KEYS, [TIME], "_chunk", sums={"obv": F.col("_sv"), "_cum_pv": F.col("_tp") * volume_(), "_cum_v": volume_()}
-    )
+    totals = {"obv": F.col("_sv"), "_cum_pv": F.col("_tp") * volume_(), "_cum_v": volume_()}
+    df = bucketed_scan(df, KEYS, [TIME], "_chunk", sums=totals, carry_from=light)
     before = F.col("obv") - F.col("_sv")
     change = ratio(F.col("_sv"), before)
     return df.withColumns(
@@ -469,7 +468,7 @@ class Family:
     back: int
     needs: tuple[str, ...] = ()
     steps: tuple[Step, ...] = ()
-    finish: Callable[[DataFrame], DataFrame] | None = None
+    finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
 FAMILIES: dict[str, Family] = {
@@ -545,8 +544,13 @@ def compute(bars: DataFrame, wanted: Sequence[str], period: str = "1d") -> DataF
         df = with_recursive(ck, df, [s for n in recursive for s in table[n].steps])
     for n in late:
         df = table[n].add(df, ck.w)
-    finishers = [table[n].finish for n in chosen if table[n].finish]
     df = df.filter("_own")
-    for f in finishers:
-        df = f(df)
+    carried = [n for n in chosen if table[n].finish]
+    if carried:
+        # what the carries need, without the Arrow step
+        light = base(ck.df, ck.w)
+        for n in carried:
+            light = table[n].add(light, ck.w)
+        for n in carried:
+            df = table[n].finish(df, light.filter("_own"))
     return df.drop(*[c for c in df.columns if c.startswith("_")])

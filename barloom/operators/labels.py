@@ -55,7 +55,11 @@ def with_labels(df: DataFrame, period: str, forward: bool = False) -> DataFrame:
             "_hl2": F.pow(ln(F.col("high"), F.col("low")), F.lit(2.0)),
         }
     )
-    out = with_recursive(ck, out, [("_ewm", ewm_std("_r", span=span, adjust=False))])
+    step = F.signum(F.coalesce("_f", F.lit(0.0)))
+    light = out.withColumns(
+        {"_pos": ck.position(), "_dir": step, "_up": flag(F.col("_f") > 0)}
+    ).withColumn("_pdir", F.coalesce(F.lag("_dir").over(w), F.lit(0.0)))
+    out = with_recursive(ck, light, [("_ewm", ewm_std("_r", span=span, adjust=False))])
     r, f = F.col("_r"), F.col("_f")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = out.withColumns(
@@ -71,8 +75,6 @@ def with_labels(df: DataFrame, period: str, forward: bool = False) -> DataFrame:
             "_p90": fr.quantile(r, 0.90, w, n),
             "_rs": fr.values(r, w, n),
             "_f1": F.lead("_f").over(w),
-            "_dir": F.signum(zero(f)),
-            "_up": flag(f > 0),
             # only differences of this total are used, so it may start at the chunk
             "_cum": F.when(f.isNotNull(), F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))),
             "_hi": fr.high(F.col("high"), w, bn, 2),
@@ -98,7 +100,6 @@ def with_labels(df: DataFrame, period: str, forward: bool = False) -> DataFrame:
             "logreturn_pct_rank": F.when(F.size("_rs") == n, (less + (same + 1) / 2) / n),
             "target_binarytrend": F.col("_up"),
             "target_max_drawdown": F.col("_cum") - fr.high(F.col("_cum"), w, n, 1),
-            "_pdir": F.coalesce(F.lag("_dir").over(w), F.lit(0.0)),
             "target_pullback_prob": flag(
                 (F.lag("_up", 1).over(w) != F.col("_up")) & (F.lag("_up", 2).over(w) == F.col("_up"))
             ),
@@ -124,29 +125,19 @@ def with_labels(df: DataFrame, period: str, forward: bool = False) -> DataFrame:
             "target_breakout_prob": flag(beyond & busy),
         }
     )
-    return _run_lengths(out.filter("_own"))
+    return _run_lengths(out.filter("_own"), light.filter("_own"))
 
 
-def _run_lengths(df: DataFrame) -> DataFrame:
+def _run_lengths(df: DataFrame, light: DataFrame) -> DataFrame:
     """Length of the current run of equal direction, and of rising bars, over whole groups."""
-    key, order = KEYS, [TIME]
-    placed = bucketed_scan(df, key, order, "_chunk", sums={"_row": F.lit(1).cast("long")})
-    turned = F.col("_pdir") != F.col("_dir")
-    runs = bucketed_scan(
-        placed,
-        key,
-        order,
-        "_chunk",
-        lasts={
-            "_turn": F.when(turned, F.col("_row")),
-            "_fall": F.when(F.col("_up") == 0, F.col("_row")),
-        },
-    )
+    row = F.col("_pos") + 1
+    starts = {"_turn": F.when(F.col("_pdir") != F.col("_dir"), row), "_fall": F.when(F.col("_up") == 0, row)}
+    runs = bucketed_scan(df, KEYS, [TIME], "_chunk", lasts=starts, carry_from=light)
     zero = F.lit(0).cast("long")
     return runs.withColumns(
         {
-            "target_trend_persistence": F.col("_row") - F.coalesce("_turn", zero) + 1,
-            "target_breakout_count": F.col("_row") - F.coalesce("_fall", zero),
+            "target_trend_persistence": row - F.coalesce("_turn", zero) + 1,
+            "target_breakout_count": row - F.coalesce("_fall", zero),
         }
     ).drop(*[c for c in runs.columns if c.startswith("_")])
 

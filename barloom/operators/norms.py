@@ -69,24 +69,23 @@ def rolling_norms(
     mp = window if min_periods is None else min_periods
     tag = str(window) if suffix else ""
     ck = halo_chunks(df, back=window)
+    frame = fr.back(ck.w, window, lag=1)
+    wanted = {"mean": F.avg, "std": F.stddev_samp} if "z" in methods else {}
+    wanted |= {"min": F.min, "max": F.max} if "mm" in methods else {}
     stats: dict[str, Column] = {}
     for c in cols:
         x = F.col(c).cast("double")
-        if "z" in methods:
-            stats[f"_mean_{c}"] = fr.mean(x, ck.w, window, mp, lag=1)
-            stats[f"_std_{c}"] = fr.std(x, ck.w, window, mp, lag=1)
-        if "mm" in methods:
-            stats[f"_min_{c}"] = fr.low(x, ck.w, window, mp, lag=1)
-            stats[f"_max_{c}"] = fr.high(x, ck.w, window, mp, lag=1)
+        stats[f"_n_{c}"] = F.count(x).over(frame)
+        stats |= {f"_{k}_{c}": agg(x).over(frame) for k, agg in wanted.items()}
     out: dict[str, Column] = {}
     for c in cols:
-        x = F.col(c).cast("double")
+        x, enough = F.col(c).cast("double"), F.col(f"_n_{c}") >= mp
         if "z" in methods:
             z = (x - F.col(f"_mean_{c}")) / (F.abs(f"_std_{c}") + eps)
-            out[f"{c}_zn{tag}"] = z if clip_z is None else clip(z, -clip_z, clip_z)
+            out[f"{c}_zn{tag}"] = F.when(enough, z if clip_z is None else clip(z, -clip_z, clip_z))
         if "mm" in methods:
             mm = (x - F.col(f"_min_{c}")) / (F.abs(F.col(f"_max_{c}") - F.col(f"_min_{c}")) + eps)
-            out[f"{c}_mm{tag}"] = mm if clip_mm is None else clip(mm, *clip_mm)
+            out[f"{c}_mm{tag}"] = F.when(enough, mm if clip_mm is None else clip(mm, *clip_mm))
     return ck.owned(ck.df.withColumns(stats).withColumns(out))
 
 

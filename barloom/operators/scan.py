@@ -23,17 +23,22 @@ def bucketed_scan(
     lasts: Mapping[str, Column] | None = None,
     peaks: Mapping[str, Column] | None = None,
     before: bool = False,
+    carry_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns: running sum, last non-null value, running maximum, up to and including each row.
 
     `bucket` is a column that never decreases along `order` inside a group, and rows of one bucket
     must fit one task. The inputs must be row-local expressions. With `before=True` the current row
-    is left out (an exclusive scan). The inputs are projected once, so they are not evaluated twice
-    inside the frame.
+    is left out (an exclusive scan).
+
+    The carries are computed from `carry_from` (the same rows, but only the columns the inputs need)
+    where given: behind an Arrow step Spark cannot prune, and would run the step twice.
     """
     sums, lasts, peaks = dict(sums or {}), dict(lasts or {}), dict(peaks or {})
     every = {**sums, **lasts, **peaks}
-    tagged = df.withColumns({f"_in_{k}": v for k, v in every.items()})
+    inputs = {f"_in_{k}": v for k, v in every.items()}
+    tagged = df.withColumns(inputs)
+    source = tagged if carry_from is None else carry_from.withColumns(inputs)
     stamp = F.struct(*[F.col(o) for o in order])
 
     partial = [F.sum(f"_in_{k}").alias(_IN + k) for k in sums]
@@ -45,7 +50,7 @@ def bucketed_scan(
     carried = {_IN + k: F.sum(_IN + k).over(earlier) for k in sums}
     carried |= {_IN + k: F.last(_IN + k, ignorenulls=True).over(earlier) for k in lasts}
     carried |= {_IN + k: F.max(_IN + k).over(earlier) for k in peaks}
-    carry = tagged.groupBy(*keys, bucket).agg(*partial).withColumns(carried)
+    carry = source.groupBy(*keys, bucket).agg(*partial).withColumns(carried)
 
     end = -1 if before else Window.currentRow
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)

@@ -114,7 +114,8 @@ def supervised_windows(df: DataFrame, features: Sequence[str], target: str, leng
 
 def with_time_idx(df: DataFrame, symbols: Sequence[str] = (), periods: Sequence[str] = ()) -> DataFrame:
     """Dense 0-based bar number inside each group; with order lists, rows are also sorted by them."""
-    out = with_position(df.withColumn("_bucket", time_bucket(df)), KEYS, [TIME], "_bucket", "time_idx").drop("_bucket")
+    ck = halo_chunks(df, back=0)
+    out = ck.owned(ck.df.withColumn("time_idx", ck.position()))
     if not symbols and not periods:
         return out
     rank = lambda names, c: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c))

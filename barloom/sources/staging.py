@@ -32,4 +32,4 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     path = f"{checkpoint_dir(df.sparkSession)}/barloom/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
