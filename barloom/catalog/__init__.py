@@ -1,10 +1,10 @@
 """Registered queries over the given tables, each beside its SQL."""
 
-from barloom.catalog import auditing, evaluation, features, fusing, indicators, inputs, modelling, recursive, selection
+from barloom.catalog import auditing, evaluation, features, fusing, indicators, inputs, modelling, recursive, selection, streams
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (indicators, recursive, features, fusing, auditing, inputs, selection, evaluation, modelling):
+for _part in (indicators, recursive, features, fusing, auditing, inputs, selection, evaluation, modelling, streams):
     clash = QUERIES.keys() & _part.QUERIES.keys()
     if clash:
         raise ValueError(f"query registered twice: {sorted(clash)}")
