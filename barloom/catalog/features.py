@@ -107,8 +107,7 @@ ORACLE["rolling_norms"] = union_sql(_norms_sql)
 def lag_guard_and_slopes(spark, sf):
     """The 24h differences and slopes of lagged indicators."""
     df = ind.compute(bars(spark, sf, "4h"), ["relative_strength", "money_flow"])
-    df = norms.lag_guard(staged(df.select(*KEY, "stoch_rsi", "mfi"), "indicators"))
-    df = norms.differences_and_slopes(staged(df, "lagged"), "4h")
+    df = norms.guarded_slopes(staged(df.select(*KEY, "stoch_rsi", "mfi"), "indicators"), "4h")
     return settled(df, KEY)
 
 

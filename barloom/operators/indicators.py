@@ -340,17 +340,27 @@ def candles(df, w):
 
 
 def regime_inputs(df, w, period: str):
-    """Volatility statistics under the regime flags. Reads boll_bandwidth."""
+    """Volatility statistics under the regime flags."""
     r, day = F.col("_r"), PERIODS[period].day_window
-    df = df.withColumns(
+    return df.withColumns(
         {
             "_std20": fr.std(r, w, 20, 10),
             "_sum20": fr.total(r, w, 20, 10),
             "_std_day": fr.std(r, w, day, 1) if day > 1 else F.lit(None).cast("double"),
-            "_bw30": fr.quantile(F.col("boll_bandwidth"), 0.3, w, 500),
         }
     )
-    return df.withColumn("_std70", fr.quantile(F.col("_std20"), 0.7, w, 100))
+
+
+# Quantiles and ranks over up to 500 bars: an updated order statistic costs log(n) per row, where a
+# frame aggregate would sort the frame again for every row.
+REGIME_STEPS: list[Step] = [
+    ("_bw30", lambda p: p["boll_bandwidth"].rolling(500).quantile(0.3)),
+    ("_std70", lambda p: p["_std20"].rolling(100).quantile(0.7)),
+]
+SQUEEZE_STEPS: list[Step] = [
+    ("_kc_rank", lambda p: p["_kcw"].rolling(500, min_periods=100).rank(method="min")),
+    ("_kc_rows", lambda p: p["_kcw"].rolling(500, min_periods=100).count()),
+]
 
 
 def regime_flags(df, w):
@@ -369,13 +379,15 @@ def regime_flags(df, w):
     )
 
 
-def squeeze(df, w):
-    """Reads keltner_*, boll_bandwidth and ma20."""
+def squeeze_width(df, w):
+    """Reads keltner_* and ma20."""
     width = (F.col("keltner_upper_20") - F.col("keltner_lower_20")) / (F.abs("ma20") + 1e-9)
-    df = df.withColumn("_kcw", width)
-    df = df.withColumn("_kcws", fr.values(F.col("_kcw"), w, 500))
-    share = fr.share_below(F.col("_kcws"), F.col("_kcw"), F.size("_kcws").cast("double"))
-    narrow = F.when(F.size("_kcws") >= 100, share) < 0.3
+    return df.withColumn("_kcw", width)
+
+
+def squeeze(df, w):
+    """Reads `squeeze_width`, its rank in the window and boll_bandwidth."""
+    narrow = ratio(F.col("_kc_rank") - 1, F.col("_kc_rows")) < 0.3
     return df.withColumn("squeeze_on", flag((F.col("boll_bandwidth") < F.col("_kcw")) & narrow))
 
 
@@ -501,13 +513,16 @@ FAMILIES: dict[str, Family] = {
     "tsi": Family(None, _halo(25, 13), ("directional_inputs",), tuple(TSI_STEPS)),
     "keltner_mid": Family(None, _halo(20), ("base",), tuple(KELTNER_STEPS)),
     "keltner": Family(keltner, 20, ("keltner_mid",)),
-    "squeeze": Family(squeeze, 500, ("keltner", "bollinger", "moving_averages")),
-    "regime_flags": Family(regime_flags, 0, ("adx", "true_range", "regime_inputs")),
+    "squeeze_width": Family(squeeze_width, 0, ("keltner", "moving_averages")),
+    "squeeze_rank": Family(None, 500, ("squeeze_width",), tuple(SQUEEZE_STEPS)),
+    "squeeze": Family(squeeze, 0, ("squeeze_rank", "bollinger")),
+    "regime_quantiles": Family(None, 500, ("regime_inputs", "bollinger"), tuple(REGIME_STEPS)),
+    "regime_flags": Family(regime_flags, 0, ("adx", "true_range", "regime_quantiles")),
 }
 
 
 def _with_period(period: str) -> dict[str, Family]:
-    inputs = Family(lambda df, w: regime_inputs(df, w, period), 620, ("bollinger",))
+    inputs = Family(lambda df, w: regime_inputs(df, w, period), 25, ("base",))
     return {**FAMILIES, "regime_inputs": inputs}
 
 
@@ -528,22 +543,24 @@ def compute(bars: DataFrame, wanted: Sequence[str], period: str = "1d") -> DataF
 
     for name in wanted:
         visit(name)
-    # all recursion in one Arrow pass: its inputs first, everything that reads it after
-    recursive = [n for n in chosen if table[n].steps]
-    early = [n for n in chosen if n in ("base", "directional_inputs")]
-    late = [n for n in chosen if n not in early and n not in recursive]
     depth: dict[str, int] = {}
     for n in chosen:
         depth[n] = table[n].back + max((depth[m] for m in table[n].needs), default=0)
     back = max(depth.values())
     ck = halo_chunks(bars, back=back)
-    df = ck.df
-    for n in early:
-        df = table[n].add(df, ck.w)
-    if recursive:
-        df = with_recursive(ck, df, [s for n in recursive for s in table[n].steps])
-    for n in late:
-        df = table[n].add(df, ck.w)
+    df, done, left = ck.df, set(), list(chosen)
+    while left:
+        # everything in Spark that can run now, then all waiting Arrow steps in one pass
+        for n in list(left):
+            if not table[n].steps and done.issuperset(table[n].needs):
+                df = table[n].add(df, ck.w)
+                done.add(n)
+                left.remove(n)
+        waiting = [n for n in left if table[n].steps and done.issuperset(table[n].needs)]
+        if waiting:
+            df = with_recursive(ck, df, [step for n in waiting for step in table[n].steps])
+            done.update(waiting)
+            left = [n for n in left if n not in done]
     df = df.filter("_own")
     carried = [n for n in chosen if table[n].finish]
     if carried:

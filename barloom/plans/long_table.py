@@ -29,7 +29,7 @@ NORMALISED = (
     "price_position_ma200", "beta_btc_60d", "pivot_point", "distance_to_pivot", "volume_profile_hvn",
     "volume_profile_lvn", "hour_sin", "hour_cos", "dow_sin", "dow_cos",
 )
-FAMILIES = tuple(f for f in indicators.FAMILIES if f not in ("base", "directional_inputs", "keltner_mid"))
+FAMILIES = tuple(indicators.FAMILIES)
 
 
 def indicator_table(bars: DataFrame, period: str, benchmark: str | None = None, families: Sequence[str] = FAMILIES) -> DataFrame:
@@ -51,8 +51,7 @@ def indicator_table(bars: DataFrame, period: str, benchmark: str | None = None,
 def feature_table(bars: DataFrame, period: str, benchmark: str | None = None) -> DataFrame:
     """Indicators, lagged where they would leak, with slopes and rolling norms, warm-up cut off."""
     out = staged(indicator_table(bars, period, benchmark), "unlagged")
-    out = staged(norms.lag_guard(out), "lagged")
-    out = staged(norms.differences_and_slopes(out, period), "sloped")
+    out = staged(norms.guarded_slopes(out, period), "sloped")
     window = PERIODS[period].norm_window
     cols = [c for c in NORMALISED if c in out.columns]
     out = staged(norms.rolling_norms(out, cols, window), "normed")
@@ -60,12 +59,21 @@ def feature_table(bars: DataFrame, period: str, benchmark: str | None = None) ->
     return norms.trim_warm_up(out, window, normed, time_bucket(out))
 
 
+def _labelled(features: DataFrame, period: str) -> DataFrame:
+    """Labels from the few columns they read, joined to the wide rows on the bar's key."""
+    key = [*KEYS, TIME]
+    narrow = features.select(*key, "open", "high", "low", "close", "volume", "atr")
+    named = labels.with_labels(narrow, period)
+    added = [c for c in named.columns if c not in features.columns]
+    return features.join(named.select(*key, *added), key)
+
+
 def long_table(bars: DataFrame, benchmark: str | None = None, periods: Sequence[str] = ("1h", "4h", "1d")) -> DataFrame:
     """One labelled table over periods: features, labels of complete rows, and the bar number."""
     parts = []
     for p in periods:
         features = staged(feature_table(bars.filter(F.col("period") == p), p, benchmark), "features")
-        out = labels.drop_unlabelled(staged(labels.with_labels(features.drop("amplitude_range", "atr_slope"), p), "labelled"))
+        out = labels.drop_unlabelled(staged(_labelled(features, p), "labelled"))
         parts.append(out.drop(*foreign_window_columns(out.columns, p)))
     table = parts[0]
     for part in parts[1:]:
