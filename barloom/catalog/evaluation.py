@@ -313,3 +313,20 @@ ev AS (SELECT model, least(greatest(pb, 1e-6), 1 - 1e-6) AS prob, label FROM raw
 {ap_sql(['model'])}, {bins_sql(10, ('model',))}, t AS (SELECT model, count(*) AS a FROM ev GROUP BY 1),
 e AS (SELECT model, sum(abs(confidence - accuracy) * n) / any_value(a) AS ece FROM cb JOIN t USING (model) GROUP BY 1)
 SELECT model, {settle_all('pr_auc', 'ece')} FROM ap JOIN e USING (model)"""
+
+
+@query
+def target_standardisation(spark, sf):
+    """Returns scaled by their group's training statistics, and scaled back."""
+    from barloom.operators import scaling
+
+    df = splits.ratio_split(bars(spark, sf, "1d").select(*KEY, "volume", (F.col("close") - F.col("open")).alias("target_move")))
+    scaler = scaling.target_scaler(df.filter(~F.col("is_val")), ["target_move"])
+    z = scaling.standardise(df, scaler, ["target_move"])
+    back = scaling.destandardise(z, scaler, ["target_move"]).select(*KEY, F.col("target_move").alias("restored"))
+    return settled(z.select(*KEY, F.col("target_move").alias("scaled")).join(back, KEY), KEY)
+
+
+ORACLE["target_standardisation"] = f"""WITH {bars_sql('1d')}, n AS (SELECT *, close - open AS mv, row_number() OVER ({W}) - 1 < floor(count(*) OVER (PARTITION BY symbol, period) * 0.8::DOUBLE) AS tr FROM bars),
+s AS (SELECT symbol, avg(mv) AS m, greatest(stddev_samp(mv), 1e-8) AS sd FROM n WHERE tr GROUP BY 1),
+z AS (SELECT symbol, period, timestamp, (mv - m) / sd AS scaled, mv AS restored FROM n JOIN s USING (symbol)) SELECT symbol, period, timestamp, {settle_all('scaled', 'restored')} FROM z"""
