@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.catalog.indicators import ALL, ATR, BASE, BOLL, KEY, RSI, W, full, over
+from barloom.catalog.indicators import ALL, ATR, BASE, KEY, RSI, W, full, over
 from barloom.catalog.tables import bars, bars_sql, settle_sql, settled
 from barloom.operators import indicators as ind, labels, market, norms
 from barloom.operators.chunks import time_bucket

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from barloom.catalog.indicators import ALL, ATR, BOLL, DAILY, KEY, ORACLE as _O, QUERIES as _Q, W, families, full, over, sql
+from barloom.catalog.indicators import ALL, ATR, BOLL, DAILY, KEY, W, families, full, over, sql
 from barloom.catalog.tables import bars, bars_sql, settle_sql, settled
 from barloom.operators import kernels
 

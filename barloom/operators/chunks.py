@@ -37,9 +37,14 @@ def _conf_int(df: DataFrame, key: str, default: int) -> int:
 
 
 def time_bucket(df: DataFrame, order: str = TIME, step: Column | None = None) -> Column:
-    """Bucket of a bar: with unique bars per step it holds at most `bucket_rows` rows."""
+    """Bucket of a bar: with unique bars per step it holds at most `bucket_rows` rows.
+
+    A period without a declared step is bucketed as if it were hourly: only the bucket size depends
+    on it.
+    """
     rows = _conf_int(df, BUCKET_ROWS_CONF, DEFAULT_BUCKET_ROWS)
-    width = (step if step is not None else step_ms()) * F.lit(rows)
+    known = step if step is not None else step_ms() if "period" in df.columns else F.lit(None).cast("long")
+    width = F.coalesce(known, F.lit(3_600_000).cast("long")) * F.lit(rows)
     return F.floor(F.col(order) / width).cast("long")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from barloom.functions import frames as fr
-from barloom.functions.nulls import finite, ratio, safe
+from barloom.functions.nulls import finite, ratio
 from barloom.operators.chunks import halo_chunks
 from barloom.operators.kernels import ema_halo, ewm_std, span_alpha, with_recursive
 from barloom.operators.norms import lagged_standardise

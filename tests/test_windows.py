@@ -171,3 +171,11 @@ def test_warm_up(spark, tiny_chunks):
     df = norms.rolling_norms(spark.createDataFrame(p), ["close"], 24)
     got = norms.trim_warm_up(df, 24, ["close_zn24"], time_bucket(df)).toPandas()
     assert len(got) == sum(len(g) - 24 for _, g in p.groupby(KEYS)) and got["close_zn24"].notna().all()
+
+
+def test_undeclared_periods_are_kept(spark, tiny_chunks):
+    p = by_key(bars(90, period="2h"))
+    df = spark.createDataFrame(p)
+    assert indicators.compute(df, ["moving_averages"]).count() == len(p)
+    got = by_key(splits.with_time_idx(df).toPandas())
+    assert (got["time_idx"] == p.groupby(KEYS).cumcount()).all()
