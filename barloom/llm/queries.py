@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat
+from barloom.llm import chat, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
