@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, simhash
+from barloom.llm import bpe, chat, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
 }
 
 ORACLE: dict[str, str] = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share_file(spark: SparkSession, image: bytes, kind: str) -> str:
+    """Hand a small file to all executors, present and future, by way of the shared folder.
+
+    Spark copies it to a folder of each executor; returns the name to ask SparkFiles for.
+    """
+    name = f"{kind}-{hashlib.sha256(image).hexdigest()[:24]}.bin"
+    if not any(f.endswith(name) for f in spark.sparkContext.listFiles):
+        path = f"{shared_folder(spark, kind)}/{name}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+        stream.write(bytearray(image))
+        stream.close()
+        spark.sparkContext.addFile(path)
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
