@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, simhash, wavelet
+from barloom.llm import bpe, chat, simhash, wavelet, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op7_winnowing_decontamination": winnow.op7_winnowing_decontamination,
     "op10_wavelet_token_files": wavelet.op10_wavelet_token_files,
 }
 
