@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, pii, quality, simhash, wavelet, winnow
+from barloom.llm import bpe, chat, lineblocks, pii, quality, simhash, wavelet, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op3_personal_data": pii.op3_personal_data,
     "op4_quality_discriminant": quality.op4_quality_discriminant,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_line_block_text": lineblocks.op6_line_block_text,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op7_winnowing_decontamination": winnow.op7_winnowing_decontamination,
     "op10_wavelet_token_files": wavelet.op10_wavelet_token_files,
