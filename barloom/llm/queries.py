@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, lineblocks, pii, quality, simhash, wavelet, winnow
+from barloom.llm import bpe, chat, lineblocks, pii, quality, simhash, vptree, wavelet, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_vantage_point_search": vptree.op2_vantage_point_search,
     "op3_personal_data": pii.op3_personal_data,
     "op4_quality_discriminant": quality.op4_quality_discriminant,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op2_vantage_point_search": vptree.OP2_SQL,
 }
