@@ -25,16 +25,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import id_and_text, schema, share_file, table
+from barloom.llm.shared import id_and_text, schema, share_file, staged, table
 
 LEXICON = 1 << 16  # words compiled at most; all others are merged, so the bound changes no result
-CACHE, LONGEST = 200_000, 64  # stretches a worker remembers, and code points of the longest one
+HEAPED, NEVER = 100, 1 << 60  # bytes beyond which merges are kept in a heap; the rank of a pair that never merges
+CACHE, LONGEST = 250_000, 64  # stretches a worker remembers, and code points of the longest one
 COUNTED = 500_000  # distinct stretches a task counts before it hands on what it has
 
 #: The pre-token pattern of the vocabulary file's kind, and Unicode's white space.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+LETTERS = [bytes([b]) for b in range(256)]
 STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
@@ -68,38 +70,56 @@ class Vocabulary:
         for content, i in self.specials.items():
             self.bytes[i] = content.encode()
         self.names = [str(i) for i in range(len(self.bytes))]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # pair to rank and new id, as one number
         for rank, pair in enumerate(given["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.merges.setdefault((ids[a], ids[b]), rank << 24 | ids[a + b])
         self.pretoken = regex.compile(PRETOKEN)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
     def merged(self, pretoken: bytes) -> list[int]:
         """The ids of one pre-token: the pair of least rank merges first, the leftmost among equals."""
+        if len(pretoken) > HEAPED:
+            return self._heap_merged(pretoken)
+        ids, merges = [self.first[b] for b in pretoken], self.merges
+        ranks = [merges.get(pair, NEVER) for pair in zip(ids, ids[1:], strict=False)]  # of each id with the next
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = merges.get((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = merges.get((ids[i], ids[i + 1]), NEVER)
+        return ids
+
+    def _heap_merged(self, pretoken: bytes) -> list[int]:
+        """The same for a long pre-token, in time that hardly grows faster than its length."""
         ids = [self.first[b] for b in pretoken]
         end, merges = len(ids), self.merges
         if end == 1:
             return ids
         left, right = list(range(-1, end - 1)), list(range(1, end + 1))
-        heap = [(*found, i, ids[i], ids[i + 1]) for i in range(end - 1) if (found := merges.get((ids[i], ids[i + 1])))]
+        heap = [(found, i, ids[i], ids[i + 1]) for i in range(end - 1) if (found := merges.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
-            j = right[i]
+            found, i, a, b = heapq.heappop(heap)
+            j, new = right[i], found & 0xFFFFFF
             if ids[i] != a or j >= end or ids[j] != b:
                 continue
             ids[i], ids[j] = new, -1
             right[i] = k = right[j]
             if k < end:
                 left[k] = i
-                if found := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (*found, i, new, ids[k]))
-            if (h := left[i]) >= 0 and (found := merges.get((ids[h], new))):
-                heapq.heappush(heap, (*found, h, ids[h], new))
+                if (found := merges.get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (found, i, new, ids[k]))
+            if (h := left[i]) >= 0 and (found := merges.get((ids[h], new))) is not None:
+                heapq.heappush(heap, (found, h, ids[h], new))
         return [i for i in ids if i >= 0]
 
     def exact(self, stretch: str) -> list[int]:
+        if stretch[1:].isalpha() and (stretch[0] == " " or stretch[0].isalpha()) or len(stretch) == 1:
+            return self.merged(stretch.encode())  # a single pre-token
         return [i for part in self.pretoken.findall(stretch) for i in self.merged(part.encode())]
 
 
@@ -165,8 +185,7 @@ class Lexicon:
             parts.append(view[at : at + n])
             at += n
         self.offsets, self.targets, self.weights, self.starts, self.ids = (p.cast("I") for p in parts[:5])
-        self.finals, self.image = parts[6], image
-        self.labels_at = at - lengths[5] - lengths[6]
+        self.labels, self.finals = bytes(parts[5]), parts[6]
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -175,16 +194,17 @@ class Lexicon:
 
     def number(self, word: bytes) -> int:
         """The place of a word in the order of all words, or -1."""
-        state, total, base = self.root, 0, self.labels_at
+        state, total, find, offsets, targets, weights = self.root, 0, self.labels.find, self.offsets, self.targets, self.weights
         for byte in word:
-            arc = self.image.find(byte.to_bytes(), base + self.offsets[state], base + self.offsets[state + 1]) - base
+            arc = find(LETTERS[byte], offsets[state], offsets[state + 1])
             if arc < 0:
                 return -1
-            total += self.weights[arc]
-            state = self.targets[arc]
+            total += weights[arc]
+            state = targets[arc]
         return total if self.finals[state] else -1
 
     def get(self, word: bytes) -> list[int] | None:
+        """The ids of a word, or None."""
         n = self.number(word)
         return None if n < 0 else self.ids[self.starts[n] : self.starts[n + 1]].tolist()
 
@@ -193,26 +213,29 @@ class Codec:
     """Encodes and decodes whole texts."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None) -> None:
-        self.vocabulary, self.lexicon, self.seen = vocabulary, lexicon, {}
-
-    def _stretch(self, stretch: str) -> list[int]:
-        ids = self.lexicon.get(stretch.encode()) if self.lexicon and len(stretch) <= LONGEST else None
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # what was remembered before the last change
+
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        if len(stretch) > LONGEST:
+            return tuple(self.vocabulary.exact(stretch))
+        ids = self.older.get(stretch)
         if ids is None:
-            ids = self.vocabulary.exact(stretch)
-        if len(stretch) <= LONGEST:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[stretch] = ids
+            ids = tuple((self.lexicon.get(stretch.encode()) if self.lexicon else None) or self.vocabulary.exact(stretch))
+        if len(self.seen) >= CACHE:
+            self.seen, self.older = {}, self.seen
+        self.seen[stretch] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        special, ids, seen = self.vocabulary.special, [], self.seen
+        special, ids = self.vocabulary.special, []
         for part in special.split(text) if special and any(s in text for s in self.vocabulary.specials) else (text,):
             if part in self.vocabulary.specials:
                 ids.append(self.vocabulary.specials[part])
                 continue
             for stretch in STRETCH.findall(part):
-                ids += seen.get(stretch) or self._stretch(stretch)
+                ids += self.seen.get(stretch) or self._stretch(stretch)
         return ids
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -254,12 +277,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def corpus_lexicon(docs: DataFrame, vocabulary: str | None = None, size: int = LEXICON) -> str:
-    """Compile the size most frequent stretches of all documents; returns the name under which executors find the file.
+    """Compile the most frequent stretches of all documents, at most size of them; returns the name under which executors find the file.
 
-    Only these size words pass through the driver. Ties go to the smaller word. An empty table gives an empty lexicon.
+    All words are counted. Counts fall into steps of 2^(1/16); the words of as many steps, from the top, as together hold at most
+    size words pass through the driver, and no others. An empty table gives an empty lexicon.
     """
     spark = docs.sparkSession
-    frequent = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(size).select("word").collect()
+    step = F.floor(F.log2("n") * 16).cast("int")
+    counts = staged(word_counts(docs).select("word", step.alias("step")), "words")
+    least, words = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):  # at most 16 * 63 steps
+        words += r["count"]
+        if words > size:
+            break
+        least = r.step
+    frequent = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []
     words = Vocabulary(vocabulary or vocabulary_path())
     image = compile_lexicon({r.word.encode(): words.exact(r.word) for r in frequent})
     return share_file(spark, image, "lexicon")
