@@ -161,6 +161,16 @@ def scored(stats: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(text: Column, model: Discriminant, threshold: float = THRESHOLD) -> Column:
+    """Whether a text scores at least the threshold; a null text as an empty one."""
+
+    @F.pandas_udf("boolean")
+    def accept(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t or "") for t in texts]).reshape(-1, len(NAMES))) >= threshold)
+
+    return accept(text)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (doc_id, text) with labels (doc_id, quality) to (doc_id, held_out, score, predicted). Null texts are scored as empty ones.
 

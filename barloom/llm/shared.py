@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,5 +66,9 @@ def schema(**fields: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in fields.items()])
 
 
-def all_columns(df: DataFrame) -> list[Column]:
-    return [F.col(f"`{name}`") for name in df.columns]
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

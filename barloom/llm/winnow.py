@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import id_and_text, schema, table
@@ -89,20 +90,50 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     hits: ranges [start, end) of hit words, as one flat list; items: distinct ids of items with an occurring window, sorted as
     strings. Null texts have no words; a null item_id is written empty. Repeated rows each have their row.
     """
-    spark = docs.sparkSession
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, -(-size // block))
+    shipped = indexes(items, window, gram, block)
     kept = schema(doc_id="bigint", text="string", n_words="bigint", hits="array<int>", items="array<string>")
     rows = docs.select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    for n, index in enumerate(shipped):
+        rows = rows.mapInPandas(_marker(index, last=n == len(shipped) - 1), kept)
+    return rows.select("doc_id", "n_words", "hits", "items")
+
+
+def indexes(items: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> list[Broadcast]:
+    """The items' fingerprints in blocks of about so many bytes of text, each checked and then shipped by itself."""
+    spark = items.sparkSession
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // block))
+    shipped = []
     for n in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
         given = [(r.item_id or "", r.text or "") for r in part.select("item_id", "text").collect()]
-        shipped = spark.sparkContext.broadcast(Index([i for i, _ in given], [t for _, t in given], window, gram))
-        rows = rows.mapInPandas(_marker(shipped, last=n == blocks - 1), kept)
-    return rows.select("doc_id", "n_words", "hits", "items")
+        shipped.append(spark.sparkContext.broadcast(Index([i for i, _ in given], [t for _, t in given], window, gram)))
+    return shipped
+
+
+def contaminated(text: Column, items: DataFrame) -> Column:
+    """Whether any window of any item occurs in a text; false for a null text."""
+    found = F.lit(False)
+    for shipped in indexes(items):
+        found = found | _hit(shipped)(text)
+    return found
+
+
+def _hit(shipped: Broadcast):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        def any_hit(text: str | None) -> bool:
+            words = word_hashes(word_bytes(text or ""))
+            marks = np.zeros(len(words), bool)
+            shipped.value.mark(words, marks, set())
+            return bool(marks.any())
+
+        return pd.Series([any_hit(t) for t in texts], dtype=bool)
+
+    return hit
 
 
-def _marker(shipped, last: bool):
+def _marker(shipped: Broadcast, last: bool):
     """Passes the texts on to the next block's marker, unless it is the last."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
