@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, lineblocks, pii, quality, simhash, vptree, wavelet, winnow
+from barloom.llm import bpe, chat, lineblocks, pii, quality, repeats, simhash, vptree, wavelet, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_block_text": lineblocks.op6_line_block_text,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op7_winnowing_decontamination": winnow.op7_winnowing_decontamination,
+    "op9_repeated_bytes": repeats.op9_repeated_bytes,
     "op10_wavelet_token_files": wavelet.op10_wavelet_token_files,
 }
 
