@@ -29,7 +29,7 @@ from barloom.llm.shared import id_and_text, schema, share_file, staged, table
 
 LEXICON = 1 << 16  # words compiled at most; all others are merged, so the bound changes no result
 HEAPED, NEVER = 100, 1 << 60  # bytes beyond which merges are kept in a heap; the rank of a pair that never merges
-CACHE, LONGEST = 250_000, 64  # stretches a worker remembers, and code points of the longest one
+CACHE, LONGEST = 400_000, 64  # stretches a worker remembers, and code points of the longest one
 COUNTED = 500_000  # distinct stretches a task counts before it hands on what it has
 
 #: The pre-token pattern of the vocabulary file's kind, and Unicode's white space.

@@ -21,13 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.bpe import CACHE, LONGEST, STRETCH, vocabulary_path
+from barloom.llm.bpe import CACHE, LONGEST, STRETCH, byte_letters, vocabulary_path
 from barloom.llm.shared import id_and_text, schema, staged, table
 
 SHARD = 1 << 21  # tokens after which a file is closed; only a single longer document makes a longer one
 TEXT = 12 << 20  # bytes of text dealt to a partition
 BLOCK = 512  # bits for each stored count of ones
 END = 0
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks that are neither letters, digits, white space nor an apostrophe
 
 
 class WaveletMatrix:
@@ -54,11 +55,12 @@ class WaveletMatrix:
     @classmethod
     def written(cls, values: np.ndarray, notes: dict, depth: int | None = None) -> bytes:
         """The file image of a sequence."""
-        values = np.asarray(values, np.uint32)
+        values = np.asarray(values)
         depth = depth or max(1, int(values.max(initial=0)).bit_length())
+        values = values.astype(np.uint16 if depth <= 16 else np.uint32)
         packer, entries, planes = zstandard.ZstdCompressor(level=1), [], []
         for level in range(depth - 1, -1, -1):
-            ones = (values >> np.uint32(level) & np.uint32(1)).astype(bool)
+            ones = (values & values.dtype.type(1 << level)) != 0
             bits = np.packbits(ones, bitorder="little")
             whole = np.zeros(-(-len(values) // BLOCK) * (BLOCK // 8), np.uint8)
             whole[: len(bits)] = bits
@@ -148,18 +150,21 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if self.depth <= 16 else np.uint32)
         for level in range(self.depth - 1, -1, -1):
             ones = np.unpackbits(self.plane(level)[0], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
             above[~ones] = out[: self.zeros[level]]
-            above[ones] = out[self.zeros[level] :] | np.uint32(1 << (self.depth - 1 - level))
+            above[ones] = out[self.zeros[level] :] | out.dtype.type(1 << (self.depth - 1 - level))
             out = above
         return out
 
 
 class LibraryEncoder:
-    """Encodes with the tokenizers library; stretches of text that no pre-token crosses are encoded once and remembered."""
+    """Encodes with the tokenizers library; stretches of text that no pre-token crosses are encoded once and remembered.
+
+    What is remembered of a stretch is its ids as little-endian bytes, so a text's ids are one join.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -170,29 +175,74 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.letters = self.library.model, byte_letters()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was remembered before the last change
         self.depth = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
-        for text in texts:
-            if any(s in text for s in self.specials):
-                yield self.library.encode(text, add_special_tokens=False).ids
-                continue
-            stretches, seen = STRETCH.findall(text), self.seen
-            new = [s for s in set(stretches) if s not in seen]
-            if new:
-                if len(seen) + len(new) > CACHE:
-                    seen.clear()
-                    new = list(set(stretches))
-                seen.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            ids: list[int] = []
-            for s in stretches:
-                ids += seen[s]
+    def encode(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.specials):
+            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        stretches, seen = STRETCH.findall(text), self.seen
+        try:
+            raw = b"".join([seen[s] for s in stretches])
+        except KeyError:
+            if len(seen) > CACHE:
+                seen, self.older = {}, seen
+                self.seen = seen
+            new = {s for s in stretches if s not in seen}
+            self._learn(new)
+            raw = b"".join([seen[s] for s in stretches])
             for s in new:
                 if len(s) > LONGEST:
                     del seen[s]
-            yield ids
+        return np.frombuffer(raw, "<u4")
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Remember the ids of stretches. Letters are a single pre-token, and marks behind them another."""
+        seen, older, word = self.seen, self.older, self._word
+        mixed = []
+        for s in stretches:
+            if (ids := older.get(s)) is not None:
+                seen[s] = ids
+                continue
+            core = s.rstrip(MARKS)
+            if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+                if len(core) == len(s):
+                    seen[s] = word(s)
+                    continue
+                ids = seen.get(core) or older.get(core)
+                if ids is None:
+                    ids = word(core)
+                    if len(core) <= LONGEST:
+                        seen[core] = ids
+                tail = s[len(core) :]
+                marks = seen.get(tail)
+                if marks is None:
+                    marks = word(tail)
+                    if len(tail) <= LONGEST:
+                        seen[tail] = marks
+                seen[s] = ids + marks
+            else:
+                mixed.append(s)
+        if mixed:
+            encoded = self.library.encode(mixed, is_pretokenized=True, add_special_tokens=False)
+            ids, owners = np.asarray(encoded.ids, "<u4"), np.asarray(encoded.word_ids)
+            ends = np.searchsorted(owners, np.arange(len(mixed)), side="right").tolist()
+            for s, a, b in zip(mixed, [0, *ends], ends, strict=False):
+                seen[s] = ids[a:b].tobytes()
+
+    def _word(self, pretoken: str) -> bytes:
+        """The ids of one pre-token, from the library's model."""
+        if pretoken.isascii():
+            letters = pretoken if pretoken[0] != " " else self.letters[32] + pretoken[1:]
+        else:
+            letters = "".join([self.letters[b] for b in pretoken.encode()])
+        tokens = self.model.tokenize(letters)
+        if len(tokens) == 1:
+            return tokens[0].id.to_bytes(4, "little")
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -227,10 +277,11 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END)
         for frame in frames:
             part = int(frame["part"].iloc[0]) if len(frame) else part
             known = frame["doc_id"].notna().to_numpy()
-            for i, (doc, tokens) in enumerate(zip(frame["doc_id"], encode.encode_all(frame["text"].tolist()), strict=True)):
-                ids.append(np.asarray([*tokens, end], np.uint32))
-                names.append(int(doc) if known[i] else None)
-                total += len(tokens) + 1
+            for doc, named, text in zip(frame["doc_id"], known, frame["text"], strict=True):
+                tokens = np.append(encode.encode(text), np.uint32(end))
+                ids.append(tokens)
+                names.append(int(doc) if named else None)
+                total += len(tokens)
                 if total >= SHARD:
                     yield file(part)
                     ids, names, total, seq = [], [], 0, seq + 1
