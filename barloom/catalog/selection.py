@@ -170,10 +170,9 @@ t AS (SELECT * FROM pr ORDER BY abs(rho) DESC, a, b LIMIT 10) SELECT a, b, {sett
 def cluster_representatives(spark, sf):
     """Features to the representative of their cluster at a rank correlation of 0.97."""
     df = matrix(spark, sf)
-    moments = {r["feature"]: (r["coverage"], r["variance"]) for r in audits.feature_moments(df, DENSE).collect()}
     groups = screening.clusters(screening.correlation_matrix(df, DENSE), DENSE)
-    reps = screening.representatives(groups, moments)
-    return spark.createDataFrame(sorted(reps.items()), "feature string, representative string")
+    clustered = spark.createDataFrame(sorted(groups.items()), "feature string, cluster string")
+    return screening.representatives(clustered, audits.feature_moments(df, DENSE))
 
 
 ORACLE["cluster_representatives"] = f"""WITH RECURSIVE {MATRIX_SQL}, {tall_sql(DENSE)}, {RANKED}, {_ord(DENSE)}, {PAIRS.format(x='a.rx', y='b.rx', s='o')}, {moments_sql(DENSE)},

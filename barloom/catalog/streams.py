@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from barloom.catalog.indicators import KEY, W
 from barloom.catalog.recursive import ORACLE as REC, ema, recursion
 from barloom.catalog.tables import bars, bars_sql, settle_sql, settled
-from barloom.sources.staging import checkpoint_dir
+from barloom.sources.staging import staging_path
 from barloom.streaming import bars as st
 
 QUERIES: dict = {}
@@ -21,10 +20,6 @@ def query(fn):
     return fn
 
 
-def _place(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def streamed_hourly_bars(spark, sf):
     """Ticks to hourly bars; a bar appears once the watermark of two hours has passed its end."""
@@ -33,7 +28,7 @@ def streamed_hourly_bars(spark, sf):
     ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
     out = st.stream_bars(ticks, "1h", F.col("event_type"), "ts", F.col("value"), F.lit(1), tie=[F.col("event_id")])
-    return settled(st.run_available(out, _place(spark, "hourly")), KEY, ["open", "high", "low", "close", "volume"])
+    return settled(st.run_available(out, staging_path(spark, "hourly")), KEY, ["open", "high", "low", "close", "volume"])
 
 
 ORACLE["streamed_hourly_bars"] = f"""WITH {bars_sql('1h')}, wm AS (SELECT max(epoch_us(ts)) // 1000 - 7200000 AS w FROM events)
@@ -45,7 +40,7 @@ def _bar_files(spark, sf, period: str, cuts: int, repeat: bool = False):
     table_ = bars(spark, sf, period)
     lo, hi = table_.agg(F.min("timestamp"), F.max("timestamp")).first()
     width = (hi - lo) // cuts + 1
-    path = _place(spark, "arrivals")
+    path = staging_path(spark, "arrivals")
     for i in range(cuts):
         start = lo + i * width - (width // 4 if repeat and i else 0)
         part = table_.filter((F.col("timestamp") >= start) & (F.col("timestamp") < lo + (i + 1) * width))
@@ -57,7 +52,7 @@ def _bar_files(spark, sf, period: str, cuts: int, repeat: bool = False):
 def streamed_bars_once(spark, sf):
     """4h bars arriving in overlapping files, each kept once."""
     stream = _bar_files(spark, sf, "4h", 3, repeat=True)
-    out = st.run_available(st.once_per_bar(stream, "20 days"), _place(spark, "once"))
+    out = st.run_available(st.once_per_bar(stream, "20 days"), staging_path(spark, "once"))
     return settled(out, KEY, ["close"])
 
 
@@ -68,7 +63,7 @@ def _stateful(spark, stream, processor, name):
     before = spark.conf.get(st.STATE_CONF)
     spark.conf.set(st.STATE_CONF, st.ROCKSDB)
     try:
-        return st.run_available(st.stateful(stream, processor), _place(spark, name))
+        return st.run_available(st.stateful(stream, processor), staging_path(spark, name))
     finally:
         spark.conf.set(st.STATE_CONF, before)
 

@@ -54,7 +54,7 @@ def first_known_time(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.unpivot([], list(cols), "column", "first_ts")
 
 
-def top_null_columns(df: DataFrame, cols: Sequence[str], k: int = 30) -> DataFrame:
+def top_null_columns(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     """The k columns that miss most (the report's own limit)."""
     wide = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
     return wide.unpivot([], list(cols), "column", "null_ratio").orderBy(F.desc("null_ratio"), "column").limit(k)
@@ -272,13 +272,14 @@ def continuity(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_points(df: DataFrame, limit_per_group: int | None = 2000) -> DataFrame:
-    """Every absent instant; the report lists the first 2000 of each group.
+def missing_points(df: DataFrame, limit_per_group: int | None = None) -> DataFrame:
+    """Every absent instant, or the first limit_per_group of each group. The step is the declared one, else the most frequent.
 
     Gaps are numbered by how many absent instants lie before them, so a gap beyond the limit is never
     expanded.
     """
-    steps = _steps(df).withColumn("_step", period_ms(F.col("period")))
+    steps = _steps(df)
+    steps = steps.join(modal_steps(steps), list(KEYS), "left").withColumn("_step", F.coalesce(period_ms(F.col("period")), F.col("step_ms_inferred")))
     gaps = steps.withColumn("_absent", F.floor((F.col(TIME) - F.col("prev_ts")) / F.col("_step")) - 1).filter("_absent > 0")
     if limit_per_group is None:
         wanted = gaps.withColumn("_take", F.col("_absent"))

@@ -17,6 +17,7 @@ input that is expensive to compute belongs in a staged table first (`barloom.sou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -48,6 +49,30 @@ def time_bucket(df: DataFrame, order: str = TIME, step: Column | None = None) ->
     return F.floor(F.col(order) / width).cast("long")
 
 
+_UNKNOWN = "_unknown_"
+_STAND_INS = {"string": "\x00", "bigint": -(1 << 63), "int": -(1 << 31)}
+
+
+def stand_in_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Unknown keys are groups of their own: a value that no key has stands in for NULL, so that joins keep their rows."""
+    types = dict(df.dtypes)
+    wanted = [k for k in keys if types[k] in _STAND_INS and f"{_UNKNOWN}{k}" not in types]
+    flags = {f"{_UNKNOWN}{k}": F.col(k).isNull() for k in wanted}
+    return df.withColumns(flags).withColumns({k: F.coalesce(F.col(k), F.lit(_STAND_INS[types[k]]).cast(types[k])) for k in wanted})
+
+
+def restored_keys(df: DataFrame) -> DataFrame:
+    """NULL again where a value stands in for it."""
+    flags = [c for c in df.columns if c.startswith(_UNKNOWN)]
+    keys = {c.removeprefix(_UNKNOWN): F.when(~F.col(c), F.col(c.removeprefix(_UNKNOWN))) for c in flags}
+    return df.withColumns(keys).drop(*flags)
+
+
+def known_bucket(bucket: Column) -> Column:
+    """Rows of unknown time come first, in a bucket of their own."""
+    return F.coalesce(bucket, F.lit(-(1 << 40)).cast("long"))
+
+
 @dataclass(frozen=True)
 class Chunked:
     """Rows laid out by chunk; `w` is the window every frame derives from."""
@@ -72,7 +97,7 @@ class Chunked:
 
     def owned(self, df: DataFrame) -> DataFrame:
         """Drop borrowed rows and every helper column (leading underscore)."""
-        return df.filter(_OWN).drop(*[c for c in df.columns if c.startswith("_")])
+        return restored_keys(df.filter(_OWN)).drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def halo_chunks(
@@ -86,8 +111,9 @@ def halo_chunks(
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = _conf_int(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS)
     least = min(most, max(MIN_CHUNK_ROWS, 2 * (back + ahead)))
+    df = stand_in_keys(df, keys)
     bucket = time_bucket(df, order) if bucket is None else bucket
-    df = df.withColumn(_BUCKET, bucket)
+    df = df.withColumn(_BUCKET, known_bucket(bucket))
 
     group = Window.partitionBy(*keys)
     earlier = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)

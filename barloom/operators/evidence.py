@@ -75,7 +75,7 @@ def with_external(ev: DataFrame, external: DataFrame, name: str) -> DataFrame:
 
 def unified_core(
     pairs: DataFrame,
-    topk: int = 128,
+    topk: int | None,
     weights: Mapping[str, float] | None = None,
     topk_per_pair: int | None = None,
     min_appear_rate: float | None = None,
@@ -83,7 +83,7 @@ def unified_core(
     bonus: DataFrame | None = None,
     bonus_weight: float = 0.0,
 ) -> DataFrame:
-    """One score per feature over all pairs, appearance gates, rank and keep flag."""
+    """One score per feature over all pairs, appearance gates, rank and keep flag (of the best topk; None keeps all)."""
     local = pairs.withColumn("score_local", F.coalesce("score_local", F.lit(0.0)))
     w = F.lit(1.0)
     for t, v in (weights or {}).items():
@@ -121,10 +121,10 @@ def unified_core(
     else:
         core = core.withColumn("appear_rate_era", F.lit(None).cast("double"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score_global"), "feature")  # one row per feature
-    return core.withColumn("rank", F.row_number().over(order)).withColumn("keep", F.col("rank") <= topk)
+    return core.withColumn("rank", F.row_number().over(order)).withColumn("keep", F.lit(True) if topk is None else F.col("rank") <= topk)
 
 
-def boost_features(core: DataFrame, pairs: DataFrame, prefixes: Sequence[str], limit: int = 12) -> DataFrame:
+def boost_features(core: DataFrame, pairs: DataFrame, prefixes: Sequence[str], limit: int) -> DataFrame:
     """Per pair the best prefixed features that are not in the core."""
     named = reduce(lambda a, b: a | b, [F.col("feature").startswith(p) for p in prefixes])
     rest = pairs.filter(named).join(core.filter("keep").select("feature"), "feature", "left_anti")

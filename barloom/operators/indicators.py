@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from barloom.functions import frames as fr
 from barloom.functions.nulls import clip, flag, ratio, safe
 from barloom.functions.times import calendar_columns
-from barloom.operators.chunks import halo_chunks
+from barloom.operators.chunks import halo_chunks, restored_keys
 from barloom.operators.kernels import Step, ema, ema_halo, span_alpha, with_recursive
 from barloom.operators.scan import bucketed_scan
 from barloom.schema import KEYS, PERIODS, TIME
@@ -570,4 +570,4 @@ def compute(bars: DataFrame, wanted: Sequence[str], period: str = "1d") -> DataF
             light = table[n].add(light, ck.w)
         for n in carried:
             df = table[n].finish(df, light.filter("_own"))
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return restored_keys(df).drop(*[c for c in df.columns if c.startswith("_")])

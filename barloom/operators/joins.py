@@ -95,7 +95,7 @@ def asof_join(
 
     Union, then a bucketed scan: each (key, time bucket) is one small task and a bucket's carry-in is
     the last right row of earlier buckets, so a hot key is spread over its buckets and no right row
-    is copied. Unmatched left rows keep NULL; with a tolerance, so do matches that are too old.
+    is copied. Unmatched left rows, those of an unknown key or time too, keep NULL; with a tolerance, so do matches that are too old.
     """
     picked = F.struct(F.col(time).alias("_t"), *[F.col(c) for c in take])
     extra = [c for c in left.columns if c not in by and c != time]
@@ -105,7 +105,7 @@ def asof_join(
     rows = rows.withColumn("_bucket", F.floor(F.col(time) / F.lit(bucket_ms)))
     order = [time, "_side", *[f"_o_{o}" for o in right_order]]
     hit = bucketed_scan(rows, by, order, "_bucket", lasts={"_match": F.col("_hit")}).filter(F.col("_side") == 1)
-    match = F.col("_match")
+    match = F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, time]]), F.col("_match"))
     if tolerance_ms is not None:
         match = F.when(F.col(time) - F.col("_match._t") <= tolerance_ms, match)
     return hit.select(*by, time, *extra, *[match[c].alias(c) for c in take])

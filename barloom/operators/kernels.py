@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from barloom.operators.chunks import Chunked, halo_chunks
 from barloom.sources.staging import checkpointed
@@ -56,40 +56,33 @@ def with_recursive(ck: Chunked, df: DataFrame, steps: Sequence[Step]) -> DataFra
 
 # --- parabolic stop and reverse -----------------------------------------------------------------
 
-_STATE = ("rising", "accel", "top", "bottom", "stop")
+STOP_STATE = 4  # side (1 rising, -1 falling), acceleration, extreme price of the present side, stop
 
 
-def _stop_walk(high, low, step, cap, at=0, state=None):
-    """Walk rows from `at`, entered with `state` (the very start of a series when None)."""
-    n = len(high)
-    stop, states = np.zeros(n), np.zeros((n, len(_STATE)))
+def stop_walk(high, low, step, cap, at=0, state=None):
+    """Stops and states of rows from `at` on, entered with `state` (the very start of a series when None).
+
+    A falling market is a rising one seen in the mirror: with the side's sign on every price one rule
+    serves both. The stop nears the side's extreme by the acceleration, stays outside the two rows
+    before, and on being passed turns over to the extreme that the side had reached.
+    """
+    high, low = np.asarray(high, float), np.asarray(low, float)
+    ahead, behind = {1.0: high, -1.0: -low}, {1.0: low, -1.0: -high}
+    stops, states = np.zeros(len(high)), np.zeros((len(high), STOP_STATE))
     if state is None:
-        state, at = (1.0, step, high[0], low[0], 0.0), 1
+        state, at = (1.0, step, high[0], 0.0), 1
         states[0] = state
-    rising, accel, top, bottom, prev = state
-    for i in range(at, n):
-        near, far = i - 1, max(i - 2, 0)
-        if rising:
-            s = min(prev + accel * (top - prev), low[near], low[far])
-            if high[i] > top:
-                top, accel = high[i], min(cap, accel + step)
-            if low[i] < s:
-                rising, s, bottom, accel = 0.0, top, low[i], step
-        else:
-            s = max(prev + accel * (bottom - prev), high[near], high[far])
-            if low[i] < bottom:
-                bottom, accel = low[i], min(cap, accel + step)
-            if high[i] > s:
-                rising, s, top, accel = 1.0, bottom, high[i], step
-        stop[i] = prev = s
-        states[i] = (rising, accel, top, bottom, prev)
-    return stop, states
-
-
-def _live(state: Column) -> Column:
-    """The part of a state that later rows depend on."""
-    extreme = F.when(state[0] == 1.0, state[2]).otherwise(state[3])
-    return F.array(state[0], state[1], extreme, state[4])
+    side, pace, extreme, stop = state
+    for i in range(at, len(high)):
+        best, trail = side * extreme, side * stop
+        trail = min(trail + pace * (best - trail), *behind[side][max(i - 2, 0) : i])
+        if ahead[side][i] > best:
+            best, pace = ahead[side][i], min(cap, pace + step)
+        if behind[side][i] < trail:
+            trail, best, pace, side = -best, -behind[side][i], step, -side
+        extreme, stop = side * best, side * trail
+        stops[i], states[i] = stop, (side, pace, extreme, stop)
+    return stops, states
 
 
 def parabolic_stop(df: DataFrame, step: float = 0.02, cap: float = 0.2, warmup: int = 512) -> DataFrame:
@@ -112,10 +105,10 @@ def parabolic_stop(df: DataFrame, step: float = 0.02, cap: float = 0.2, warmup:
         first = int(pdf["_own"].to_numpy().argmax())
         if "_fix" in pdf:
             entry = list(pdf["_fix"].iloc[0])
-            stop, states = _stop_walk(high, low, step, cap, at=first, state=tuple(entry))
+            stop, states = stop_walk(high, low, step, cap, at=first, state=tuple(entry))
             stop[first - 1] = entry[-1]
         else:
-            stop, states = _stop_walk(high, low, step, cap)
+            stop, states = stop_walk(high, low, step, cap)
             entry = states[first - 1].tolist() if first else None
         pdf["psar"] = stop
         pdf["_entry"] = [entry] * len(pdf)
@@ -132,7 +125,7 @@ def parabolic_stop(df: DataFrame, step: float = 0.02, cap: float = 0.2, warmup:
                 .groupBy(*ck.chunk_keys)
                 .agg(F.first("_entry").alias("_entry"), F.first("_exit").alias("_exit"))
                 .withColumn("_fix", F.lag("_exit").over(along))
-                .filter(_live(F.col("_fix")) != _live(F.col("_entry")))
+                .filter(F.col("_fix") != F.col("_entry"))
                 .select(*ck.chunk_keys, "_fix")
             )
             if wrong.isEmpty():

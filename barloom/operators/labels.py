@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import frames as fr
 from barloom.functions.nulls import flag, ratio
-from barloom.operators.chunks import halo_chunks
+from barloom.operators.chunks import halo_chunks, restored_keys
 from barloom.operators.kernels import ema_halo, ewm_std, span_alpha, with_recursive
 from barloom.operators.scan import bucketed_scan
 from barloom.schema import KEYS, PERIODS, TIME
@@ -134,12 +134,8 @@ def _run_lengths(df: DataFrame, light: DataFrame) -> DataFrame:
     starts = {"_turn": F.when(F.col("_pdir") != F.col("_dir"), row), "_fall": F.when(F.col("_up") == 0, row)}
     runs = bucketed_scan(df, KEYS, [TIME], "_chunk", lasts=starts, carry_from=light)
     zero = F.lit(0).cast("long")
-    return runs.withColumns(
-        {
-            "target_trend_persistence": row - F.coalesce("_turn", zero) + 1,
-            "target_breakout_count": row - F.coalesce("_fall", zero),
-        }
-    ).drop(*[c for c in runs.columns if c.startswith("_")])
+    lengths = {"target_trend_persistence": row - F.coalesce("_turn", zero) + 1, "target_breakout_count": row - F.coalesce("_fall", zero)}
+    return restored_keys(runs.withColumns(lengths)).drop(*[c for c in runs.columns if c.startswith("_")])
 
 
 def drop_unlabelled(df: DataFrame, essential: Sequence[str] = ESSENTIAL) -> DataFrame:

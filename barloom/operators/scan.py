@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.operators.chunks import known_bucket, restored_keys, stand_in_keys
+
 _IN = "_carry_"
 
 
@@ -27,6 +29,8 @@ def bucketed_scan(
 ) -> DataFrame:
     """Add columns: running sum, last non-null value, running maximum, up to and including each row.
 
+    Rows with unknown keys are groups of their own, and rows of an unknown bucket come first; none is lost.
+
     `bucket` is a column that never decreases along `order` inside a group, and rows of one bucket
     must fit one task. The inputs must be row-local expressions. With `before=True` the current row
     is left out (an exclusive scan).
@@ -37,8 +41,10 @@ def bucketed_scan(
     sums, lasts, peaks = dict(sums or {}), dict(lasts or {}), dict(peaks or {})
     every = {**sums, **lasts, **peaks}
     inputs = {f"_in_{k}": v for k, v in every.items()}
-    tagged = df.withColumns(inputs)
-    source = tagged if carry_from is None else carry_from.withColumns(inputs)
+    own = [c for c in df.columns if c.startswith("_unknown_")]  # of a caller that has already replaced unknown keys
+    tagged, source = (
+        stand_in_keys(d, keys).withColumn(bucket, known_bucket(F.col(bucket))).withColumns(inputs) for d in (df, df if carry_from is None else carry_from)
+    )
     stamp = F.struct(*[F.col(o) for o in order])
 
     partial = [F.sum(f"_in_{k}").alias(_IN + k) for k in sums]
@@ -67,7 +73,8 @@ def bucketed_scan(
     for k in peaks:
         merged[k] = F.greatest(F.col(f"_loc_{k}"), F.col(_IN + k))
     helpers = [p + k for k in every for p in ("_in_", _IN, "_loc_")]
-    return out.withColumns(merged).drop(*helpers)
+    done = out.withColumns(merged).drop(*helpers)
+    return done if own else restored_keys(done)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: str, name: str) -> DataFrame:

@@ -19,13 +19,13 @@ class ScreeningSettings:
     variance: float = 1e-8
     corr_threshold: float = 0.97
     vif_threshold: float = 20.0
-    topk: int = 128
+    topk: int | None = None
     topk_per_pair: int | None = None
     min_appear_rate: float | None = None
     trees: int = 40
     repeats: int = 3
     rounds: int = 3
-    wrapper_rounds: int | None = 3
+    wrapper_rounds: int | None = None
 
 
 def filter_features(df: DataFrame, cols: Sequence[str], pinned: Sequence[str] = (), s: ScreeningSettings = ScreeningSettings()) -> tuple[list[str], DataFrame]:
@@ -45,10 +45,12 @@ def filter_features(df: DataFrame, cols: Sequence[str], pinned: Sequence[str] =
             verdict[r["feature"]] = "family"
     left = [c for c in left if verdict[c] is None]
     filled = staged(screening.impute_median(df, [], left)[0].select(*left), "imputed")
-    reps = screening.representatives(screening.clusters(screening.correlation_matrix(filled, left), left, s.corr_threshold), moments)
-    for c in left:
-        if reps[c] != c and c not in pinned:
-            verdict[c] = "correlation"
+    groups = screening.clusters(screening.correlation_matrix(filled, left), left, s.corr_threshold)
+    clustered = df.sparkSession.createDataFrame(sorted(groups.items()), "feature string, cluster string")
+    measured = df.sparkSession.createDataFrame([(c, float(moments[c][0]), float(moments[c][1] or 0.0)) for c in left], "feature string, coverage double, variance double")
+    for r in screening.representatives(clustered, measured).filter("feature <> representative").collect():
+        if r["feature"] not in pinned:
+            verdict[r["feature"]] = "correlation"
     left = [c for c in left if verdict[c] is None]
     keep, dropped = screening.vif_selection(filled, left, s.vif_threshold, pinned=pinned)
     verdict.update({c: "inflation" for c, _ in dropped})

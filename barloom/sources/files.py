@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -64,8 +63,9 @@ def slim(df: DataFrame, added: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in dict.fromkeys(wanted) if c in df.columns])
 
 
-def write_names(names: Sequence[str], path: str) -> None:
-    Path(path).write_text("".join(f"{n}\n" for n in names), encoding="utf-8")
+def write_names(spark: SparkSession, names: Sequence[str], path: str) -> None:
+    """One name per line, on whatever storage Spark writes to."""
+    spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_names(spark: SparkSession, path: str) -> list[str]:

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a private one only where none is set."""
+    """The folder named by spark.checkpoint.dir; where none is set, one in the warehouse, which executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="barloom-checkpoint-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/barloom-checkpoint"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    files.deleteOnExit(place)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     checkpoint_dir(df.sparkSession)
@@ -29,7 +38,7 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
 
     Unlike a checkpoint, the copy keeps statistics, so later scans prune columns and partitions.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/barloom/{name}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

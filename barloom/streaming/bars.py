@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from barloom.operators.kernels import _stop_walk
+from barloom.operators.kernels import STOP_STATE, stop_walk
 from barloom.schema import KEYS, PERIODS, TIME
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -84,7 +84,7 @@ class EmaState(_Keyed):
 
 
 class StopState(_Keyed):
-    """Parabolic stop; keeps its five numbers and the last two bars."""
+    """Parabolic stop; keeps its state and the last two bars."""
 
     outputs = ["psar"]
 
@@ -94,13 +94,13 @@ class StopState(_Keyed):
     def advance(self, batch, values):
         high, low = batch["high"].tolist(), batch["low"].tolist()
         if values is None:
-            stop, states = _stop_walk(high, low, self.step, self.cap)
+            stop, states = stop_walk(high, low, self.step, self.cap)
             kept = 0
         else:
-            tail = values[5:]
+            tail = values[STOP_STATE:]
             half = len(tail) // 2
             high, low, kept = tail[:half] + high, tail[half:] + low, half
-            stop, states = _stop_walk(high, low, self.step, self.cap, at=kept, state=tuple(values[:5]))
+            stop, states = stop_walk(high, low, self.step, self.cap, at=kept, state=tuple(values[:STOP_STATE]))
         out = batch[[TIME]].copy()
         out["psar"] = stop[kept:]
         return out, [*states[-1], *high[-2:], *low[-2:]]

@@ -57,8 +57,13 @@ def test_clusters_and_relevance(matrix):
     p, df = matrix
     cols = ["f0", "f1", "f2", "copy"]
     groups = screening.clusters(screening.correlation_matrix(df, cols), cols)
-    moments = {r["feature"]: (r["coverage"], r["variance"]) for r in audits.feature_moments(df, cols).collect()}
-    assert screening.representatives(groups, moments) == {"f0": "f0", "f1": "copy", "f2": "f2", "copy": "copy"}
+    clustered = df.sparkSession.createDataFrame(sorted(groups.items()), "feature string, cluster string")
+    reps = screening.representatives(clustered, audits.feature_moments(df, cols))
+    assert {r["feature"]: r["representative"] for r in reps.collect()} == {"f0": "f0", "f1": "copy", "f2": "f2", "copy": "copy"}
+    named = df.sparkSession.createDataFrame([("a_z", "a"), ("a", "b"), ("c", "c")], "feature string, cluster string")
+    sizes = df.sparkSession.createDataFrame([("a_z", 0.9, 1.0), ("a", 0.8, 2.0), ("c", 1.0, None)], "feature string, coverage double, variance double")
+    shared = {r["feature"]: r["representative"] for r in screening.representatives(named, sizes, ["_z"]).collect()}
+    assert shared == {"a_z": "a_z", "a": "a_z", "c": "c"}
     ic = screening.information_coefficient(df, cols, "y").toPandas().set_index("feature")["ic"]
     np.testing.assert_allclose(ic["f0"], p["f0"].rank().corr(p["y"].rank()), rtol=1e-9)
     mi = screening.binned_information(df, cols, "target_binarytrend").toPandas().set_index("feature")["mi"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom import columns
 from barloom.functions import nulls, symbols, times
-from barloom.operators import audits, indicators, joins, rows
+from barloom.operators import audits, indicators, joins, norms, rows, splits
 from barloom.plans import experts
 from barloom.sources import bars as bar_source, files, series
 from frames import STEP, bars, by_key
@@ -135,9 +135,10 @@ def test_stored_tables(spark, tmp_path):
     first = spark.read.parquet(path).agg(F.max("timestamp")).first()[0]
     files.append_bars(df.unionByName(df), path)
     assert spark.read.parquet(path).filter(F.col("timestamp") > first).count() == (p["timestamp"] > first).sum()
-    files.write_names(["a", "b"], str(tmp_path / "names.txt"))
-    (tmp_path / "names.txt").write_text("# note\na\n\nb\n")
+    files.write_names(spark, ["a", "b"], str(tmp_path / "names.txt"))
     assert files.read_names(spark, str(tmp_path / "names.txt")) == ["a", "b"]
+    (tmp_path / "noted.txt").write_text("# note\na\n\nb\n")
+    assert files.read_names(spark, str(tmp_path / "noted.txt")) == ["a", "b"]
     files.write_csv(df, str(tmp_path / "csv"))
     files.csv_to_parquet(spark, str(tmp_path / "csv"), str(tmp_path / "pq"), ["1h"])
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 20
@@ -183,3 +184,20 @@ def test_tick_ties_are_settled_by_price(spark):
     r = bar_source.ticks_to_bars(t, "1h", F.col("s"), F.col("t"), F.col("p"), F.lit(1)).first()
     assert (r["open"], r["high"], r["low"], r["close"], r["volume"], r["timestamp"]) == (1.0, 4.0, 1.0, 4.0, 3.0, 0)
     assert STEP == 3_600_000 and len(by_key(bars(3, gap=0))) == 6
+
+
+def test_no_row_of_an_unknown_key_is_lost(spark):
+    """Unknown symbols, periods and times keep their rows through layouts, scans, fills and joins."""
+    given = [("a", "1d", DAY * 86_400_000, 1.0), (None, "1d", DAY * 86_400_000, 2.0), ("a", None, DAY * 86_400_000, 3.0), ("a", "1d", None, 4.0), (None, "1d", (DAY + 1) * 86_400_000, None)]
+    df = spark.createDataFrame(given, "symbol string, period string, timestamp long, close double").withColumn("volume", F.lit(1.0))
+    filled = rows.fill_gaps(df, ["close"]).collect()
+    assert len(filled) == 5
+    assert sorted((r["close"] for r in filled if r["symbol"] is None)) == [2.0, 2.0], "a group of unknown symbol fills like any other"
+    assert splits.with_time_idx(df, ["a"], ["1d"]).count() == 5 and norms.rolling_norms(df, ["close"], 3).count() == 5
+    right = spark.createDataFrame([("a", 0, 7.0), (None, 0, 8.0)], "symbol string, timestamp long, x double")
+    out = joins.asof_join(df, right, ["symbol"], "timestamp", ["x"]).collect()
+    assert len(out) == 5 and {r["x"] for r in out if r["symbol"] is None or r["timestamp"] is None} == {None}
+    assert {r["x"] for r in out if r["symbol"] and r["timestamp"]} == {7.0}
+
+
+DAY = 19_000
