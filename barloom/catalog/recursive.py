@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from barloom.catalog.indicators import ALL, ATR, BOLL, DAILY, KEY, W, families, full, over, sql
 from barloom.catalog.tables import bars, bars_sql, settle_sql, settled
-from barloom.operators import kernels
+from barloom.operators import indicators as ind, kernels
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -75,6 +77,21 @@ register(
     KDJ + """, x AS (SELECT *, coalesce(k, 0) AS kdj_k, coalesce(dd, 0) AS kdj_d, coalesce(3 * k - 2 * dd, 0) AS kdj_j FROM rec)""",
     "x",
 )
+_FLAT, _GONE = (739_000_000_000, 852_000_000_000), (868_000_000_000, 884_000_000_000)  # epoch ms: 1993 to 1996, and half of 1997
+_PRICES = ("open", "high", "low", "close")
+
+
+def recursive_flat_stretch(spark, sf):
+    """Averages of the close's place in its range, over bars that stand still and then are unknown for longer than any look-back."""
+    df = bars(spark, sf, "1d")
+    within = lambda span: F.col("timestamp").between(*span)
+    df = df.withColumns({c: F.when(within(_GONE), None).when(within(_FLAT), 100.0).otherwise(F.col(c)) for c in _PRICES})
+    return settled(ind.compute(df, ["kdj"]), KEY, ["kdj_k", "kdj_d", "kdj_j"])
+
+
+QUERIES["recursive_flat_stretch"] = recursive_flat_stretch
+_STILL = ", ".join(f"CASE WHEN timestamp BETWEEN {_GONE[0]} AND {_GONE[1]} THEN NULL WHEN timestamp BETWEEN {_FLAT[0]} AND {_FLAT[1]} THEN 100.0 ELSE {c} END AS {c}" for c in _PRICES)
+ORACLE["recursive_flat_stretch"] = ORACLE["kdj"].replace("bars AS (", "given AS (", 1).replace("\nb0 AS (", f"\nbars AS (SELECT symbol, period, timestamp, {_STILL}, volume FROM given),\nb0 AS (", 1)
 DM = """dm AS MATERIALIZED (SELECT *, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm,
     CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS mdm FROM b)"""
 _A14 = "(1.0/14)"

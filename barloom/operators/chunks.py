@@ -107,7 +107,13 @@ def halo_chunks(
     keys: tuple[str, ...] = KEYS,
     order: str = TIME,
     bucket: Column | None = None,
+    renewed: Column | None = None,
 ) -> Chunked:
+    """Cut groups into chunks that reach `back` rows back and `ahead` rows ahead.
+
+    With `renewed`, an aggregate that counts the rows of a bucket which surely give a recursion a new input,
+    the look-back counts such rows only: it reaches through stretches without any, however long.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = _conf_int(df, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS)
     least = min(most, max(MIN_CHUNK_ROWS, 2 * (back + ahead)))
@@ -119,11 +125,19 @@ def halo_chunks(
     earlier = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     before, n, size = F.col(_BEFORE), F.col("_n"), F.col("_size")
     chunk_of = lambda row: F.floor(row / size)
+    rows = _conf_int(df, BUCKET_ROWS_CONF, DEFAULT_BUCKET_ROWS)
+    if not back:
+        reached = F.col("_home")
+    elif renewed is None:
+        reached = F.least(chunk_of(before + n + back - 1), F.max("_home").over(group))
+    else:
+        reached = F.max("_home").over(group.orderBy("_new_before").rangeBetween(Window.currentRow, back + rows))
     layout = (
         df.groupBy(*keys, _BUCKET)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"), (F.lit(0) if renewed is None else F.least(renewed, F.lit(rows))).cast("long").alias("_new"))
         .withColumns(
             {
+                "_new_before": F.coalesce(F.sum("_new").over(earlier), F.lit(0)),
                 _BEFORE: F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
                 "_widest": F.max("_n").over(group),
                 # short groups are cut finer, as long as the halo stays a fraction of the chunk
@@ -136,7 +150,7 @@ def halo_chunks(
                 # first chunk whose look-ahead may reach this bucket
                 "_lo": F.greatest(F.lit(0), chunk_of(before - F.col("_widest") - ahead)) if ahead else F.col("_home"),
                 # last chunk whose look-back may reach it
-                "_hi": F.least(chunk_of(before + n + back - 1), F.max("_home").over(group)) if back else F.col("_home"),
+                "_hi": reached,
             }
         )
         .select(*keys, _BUCKET, _BEFORE, "_home", "_lo", "_hi")

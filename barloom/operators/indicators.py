@@ -16,7 +16,7 @@ from barloom.functions import frames as fr
 from barloom.functions.nulls import clip, flag, ratio, safe
 from barloom.functions.times import calendar_columns
 from barloom.operators.chunks import halo_chunks, restored_keys
-from barloom.operators.kernels import Step, ema, ema_halo, span_alpha, with_recursive
+from barloom.operators.kernels import Step, ema, ema_halo, renewing_rows, span_alpha, with_recursive
 from barloom.operators.scan import bucketed_scan
 from barloom.schema import KEYS, PERIODS, TIME
 
@@ -547,7 +547,7 @@ def compute(bars: DataFrame, wanted: Sequence[str], period: str = "1d") -> DataF
     for n in chosen:
         depth[n] = table[n].back + max((depth[m] for m in table[n].needs), default=0)
     back = max(depth.values())
-    ck = halo_chunks(bars, back=back)
+    ck = halo_chunks(bars, back=back, renewed=renewing_rows() if any(table[n].steps for n in chosen) else None)
     df, done, left = ck.df, set(), list(chosen)
     while left:
         # everything in Spark that can run now, then all waiting Arrow steps in one pass

@@ -1,8 +1,8 @@
 """Recursive series: exponential averages and the parabolic stop, in Arrow batches per chunk.
 
-An exponential average forgets: after `ema_halo(alpha)` rows the weight of anything older is below
-2**-64, under the last bit of a double, so a chunk with that halo gives the value of the full
-recursion. The parabolic stop has no such bound; it is verified at the chunk seams and repaired
+An exponential average forgets: after `ema_halo(alpha)` new inputs the weight of anything older is below
+2**-64, under the last bit of a double, so a chunk whose halo holds that many gives the value of the full
+recursion. Rows without a new input (flat or unknown bars) do not count (`renewing_rows`). The parabolic stop has no such bound; it is verified at the chunk seams and repaired
 (see `parabolic_stop`).
 """
 
@@ -25,6 +25,16 @@ def ema_halo(alpha: float, bits: int = 64) -> int:
     return 1 if alpha >= 1 else math.ceil(bits * math.log(2) / -math.log1p(-alpha))
 
 
+def renewing_rows() -> Column:
+    """Aggregate over bars: how many surely give every recursion a new input.
+
+    A bar does if it has a range, or a price that its bucket has not shown yet; an unknown bar spoils itself and the next.
+    """
+    known = F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
+    moving = F.greatest(F.count_if(known & (F.col("high") > F.col("low"))), (F.size(F.collect_set("close")) - 1).cast("long"))
+    return F.greatest(moving - F.count_if(~known), F.lit(0))
+
+
 def span_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 

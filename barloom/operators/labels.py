@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions import frames as fr
 from barloom.functions.nulls import flag, ratio
 from barloom.operators.chunks import halo_chunks, restored_keys
-from barloom.operators.kernels import ema_halo, ewm_std, span_alpha, with_recursive
+from barloom.operators.kernels import ema_halo, ewm_std, renewing_rows, span_alpha, with_recursive
 from barloom.operators.scan import bucketed_scan
 from barloom.schema import KEYS, PERIODS, TIME
 
@@ -42,7 +42,7 @@ def with_labels(df: DataFrame, period: str, forward: bool = False) -> DataFrame:
     reach = jw + 2 if forward else 3
     span = max(2, n // 2)
     back = max(n + max(jl, n) + 2, ema_halo(span_alpha(span)) + 1, bn + 2)
-    ck = halo_chunks(df, back=back, ahead=reach)
+    ck = halo_chunks(df, back=back, ahead=reach, renewed=renewing_rows())
     w = ck.w
     out = ck.df.withColumns(
         {"_pc": F.lag("close").over(w), "future_close": F.lead("close").over(w), "_patr": F.lag("atr").over(w)}

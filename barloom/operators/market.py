@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from barloom.functions import frames as fr
 from barloom.functions.nulls import finite, ratio
 from barloom.operators.chunks import halo_chunks
-from barloom.operators.kernels import ema_halo, ewm_std, span_alpha, with_recursive
+from barloom.operators.kernels import ema_halo, ewm_std, renewing_rows, span_alpha, with_recursive
 from barloom.operators.norms import lagged_standardise
 from barloom.operators.scan import bucketed_scan
 from barloom.schema import KEYS, PERIODS, TIME
@@ -174,7 +174,7 @@ def regime_core(
 ) -> DataFrame:
     """Volatility, momentum, slopes and the structural gap; a source that is absent gives NULL."""
     span = max(10, fast // 2)
-    ck = halo_chunks(df, back=max(slow, ema_halo(span_alpha(span))) + 1)
+    ck = halo_chunks(df, back=max(slow, ema_halo(span_alpha(span))) + 1, renewed=renewing_rows())
     w, have = ck.w, set(df.columns)
     out = ck.df.withColumn("_pc", F.lag("close").over(w))
     out = out.withColumn("_ret", finite(ratio(F.col("close"), F.col("_pc")) - 1))
