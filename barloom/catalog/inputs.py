@@ -8,9 +8,9 @@ from barloom.catalog.fusing import ATTACHED_SQL, SLOW, attached, settle_all
 from barloom.catalog.indicators import KEY, W
 from barloom.catalog.tables import bars, bars_sql, settle_sql, settled, table
 from barloom.functions import nulls, symbols, times
-from barloom.operators import rows
+from barloom.operators import labels, rows, splits
 from barloom.plans.experts import BASE_FEATURES, SYNONYMS
-from barloom.sources import files, payloads, staging
+from barloom.sources import bars as bar_source, files, payloads, staging
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -242,14 +242,64 @@ ORACLE["resumed_bars"] = DAILY + f"SELECT symbol, period, timestamp, {settle_sql
 
 @query
 def period_partition_roundtrip(spark, sf):
-    """Bars written to the shared folder by period, one period read back."""
-    stored = staging.staged(bars(spark, sf), "bars", ("period",))
-    return settled(stored.filter("period = '4h'"), KEY, ["open", "close", "volume"])
+    """The long table written to the shared folder by period, scanned again and restricted to one period."""
+    path = staging.staging_path(spark, "long-table")
+    files.write_long_table(bars(spark, sf), path, narrow=False)
+    return settled(bar_source.restrict(bar_source.read_bars(spark, path), ["4h"]), KEY, ["open", "close", "volume"])
 
 
 ORACLE["period_partition_roundtrip"] = f"WITH {bars_sql('4h')} SELECT symbol, period, timestamp, {settle_all('open', 'close', 'volume')} FROM bars"
 
 
+@query
+def complete_feature_rows(spark, sf):
+    """Daily bars with series, without the rows that miss a feature; a label may be missing."""
+    rows = attached(spark, sf).drop("datetime").withColumn("target_x", F.lit(None).cast("double"))
+    return settled(labels.drop_incomplete_features(rows), KEY, ["order_value", "avg_price"])
+
+
+ORACLE["complete_feature_rows"] = f"""WITH {ATTACHED_SQL} SELECT symbol, period, timestamp, {settle_all('order_value', 'avg_price')} FROM att
+WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL
+AND order_value IS NOT NULL AND order_count IS NOT NULL AND avg_price IS NOT NULL"""
+
+
+@query
+def restricted_symbols(spark, sf):
+    """Bars of two symbols after discovery, the last two by name."""
+    b = bars(spark, sf)
+    chosen = [r["symbol"] for r in bar_source.symbols_in(b).orderBy(F.desc("symbol")).limit(2).collect()]
+    return bar_source.restrict(b, symbols=chosen).groupBy("symbol", "period").agg(F.count("*").alias("n"))
+
+
+ORACLE["restricted_symbols"] = f"""WITH {bars_sql()} SELECT symbol, period, count(*) AS n FROM bars
+WHERE symbol IN (SELECT symbol FROM bars GROUP BY symbol ORDER BY symbol DESC LIMIT 2) GROUP BY symbol, period"""
+
+
+@query
+def name_list_roundtrip(spark, sf):
+    """The column names of the slim table, written as a list and read again."""
+    wide = bars(spark, sf, "1d").withColumns({"target_up": F.lit(1), "rsi": F.lit(1.0), "helper": F.lit(0)})
+    path = staging.staging_path(spark, "names")
+    files.write_names(spark, files.slim(wide, ["rsi"]).columns, path)
+    return spark.createDataFrame(list(enumerate(files.read_names(spark, path))), "place int, name string")
+
+
+ORACLE["name_list_roundtrip"] = """SELECT CAST(place AS INTEGER) AS place, name FROM (VALUES (0, 'timestamp'), (1, 'datetime'), (2, 'symbol'), (3, 'period'),
+(4, 'open'), (5, 'high'), (6, 'low'), (7, 'close'), (8, 'volume'), (9, 'rsi'), (10, 'target_up')) AS t(place, name)"""
+
+
+@query
+def sample_cap(spark, sf):
+    """A capped sample has the cap's size, no row twice and none that the bars lack."""
+    b = bars(spark, sf)
+    sample = splits.sample_cap(b, 500, KEY).select(*KEY).groupBy(*KEY).count()
+    known = sample.join(b.select(*KEY), KEY, "left_semi")
+    return known.agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+
+
+ORACLE["sample_cap"] = f"WITH {bars_sql()} SELECT least(500, count(*)) AS n, CAST(1 AS BIGINT) AS most FROM bars"
+
+
 @query
 def file_report(spark, sf):
     b = bars(spark, sf).withColumn("target_up", F.when(F.col("volume") > 3, (F.col("close") > F.col("open")).cast("int")))

@@ -8,7 +8,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 from barloom.catalog import ORACLE, QUERIES
 
 ROWS = """
-A1 A2 A3 | sources/bars.py read_bars_csv, tolerant, symbols_in | test:test_bar_files_with_any_header
+A1 A2 A3 | sources/bars.py read_bars_csv, tolerant, symbols_in | restricted_symbols test:test_bar_files_with_any_header
 A4 A5 A6 | sources/series.py | test:test_series_registry
 A7 A21 | sources/files.py read_predictions, read_evidence | test:test_predictions_and_evidence_by_path
 A8 | sources/files.py new_bars, append_bars | resumed_bars
@@ -18,7 +18,7 @@ A11 | sources/payloads.py zip_parallel | parallel_array_payloads
 A12 | sources/payloads.py name_bands | positional_bands
 A13 G9 | sources/payloads.py daily_last, operators/splits.py keep_last | daily_last_by_date_text last_row_per_key
 A14 A15 | sources/files.py write_long_table, csv_to_parquet | period_partition_roundtrip test:test_stored_tables
-A16 A17 A18 | sources/files.py slim, write_names, read_names | long_feature_table test:test_stored_tables
+A16 A17 A18 | sources/files.py slim, write_csv, write_names, read_names | name_list_roundtrip test:test_stored_tables
 A19 | operators/audits.py series_time_ranges | series_time_ranges
 A20 | plans/fuse_experts.py expert_views | expert_views
 B1 | functions/times.py epoch_ms, with_epoch_ms | epoch_units_by_row epoch_units_by_column
@@ -31,7 +31,7 @@ B9 B11 B12 | functions/nulls.py | null_guards
 B10 | operators/market.py regime_core | regime_core
 B13 | functions/nulls.py narrow_for_sink | test:test_stored_tables
 B14 | functions/times.py calendar_columns | calendar_cycle
-B15 | sources/bars.py restrict | long_feature_table
+B15 | sources/bars.py restrict | period_partition_roundtrip restricted_symbols
 B16 | operators/rows.py feature_projection | feature_projection
 B17 B18 | plans/experts.py, operators/rows.py resolution_report | feature_resolution
 B21 | operators/rows.py prune_rows | prune_rows_any prune_rows_all prune_rows_thresh_k prune_rows_thresh_ratio
@@ -103,7 +103,7 @@ E53 | operators/indicators.py candles | candles
 E56 | operators/market.py volume_profile | volume_profile
 E57 E58 | operators/norms.py lag_guard, differences_and_slopes | lag_guard_and_slopes
 E59 | operators/norms.py rolling_norms | rolling_norms
-E60 | operators/kernels.py with_recursive | macd_ppo streamed_ema
+E60 | operators/kernels.py with_recursive | macd_ppo recursive_flat_stretch streamed_ema
 E62 E63 | operators/norms.py lagged_standardise, operators/market.py taker_imbalance | taker_imbalance_z taker_imbalance_r taker_imbalance_m
 E64 | operators/market.py open_interest_features | open_interest_features
 E65 | operators/market.py regime_core | regime_core
@@ -114,7 +114,7 @@ F1–F18 F20 F21 F22 | operators/labels.py with_labels | labels labels_forward_w
 F19 | operators/labels.py fund_flow_strength | fund_flow_strength
 F23 | operators/labels.py drop_unlabelled | essential_label_rows
 F24 | operators/labels.py label_fill | label_fill_report
-F25 | operators/labels.py drop_incomplete_features | long_feature_table
+F25 | operators/labels.py drop_incomplete_features | complete_feature_rows
 F26 H4 G1 | operators/splits.py with_time_idx, operators/audits.py time_idx_breaks | merged_time_idx time_idx_breaks
 G2 | operators/splits.py top_k_per_group | top_bars_per_group
 G3 J18 | operators/evidence.py unified_core | unified_core
@@ -132,7 +132,7 @@ I2 I3 | operators/splits.py days_split | days_split
 I4 | operators/splits.py rolling_folds | rolling_folds
 I5 | operators/splits.py three_way_split | three_way_split
 I6 | operators/splits.py edge_mask | embargo_purge_mask
-I7 | operators/splits.py sample_cap | test:test_splits_and_windows
+I7 | operators/splits.py sample_cap | sample_cap test:test_splits_and_windows
 I8 | operators/splits.py era_label | era_labels
 I9 | operators/splits.py supervised_windows | supervised_windows
 J1 J2 | operators/screening.py gate | coverage_variance_gate
