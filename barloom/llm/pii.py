@@ -82,6 +82,17 @@ DOT = re.compile(rf"(?i)(?<=[^\W_])(?:{OPEN}(?:dot|punkt|point|punto|\.){CLOSE}|
 AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+.-])(?:{OPEN}(?:at|@){CLOSE}|[ \t]+@[ \t]*|[ \t]*@[ \t]+)(?=[A-Za-z0-9])")
 BARE_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:{OPEN}(?:dot|punkt|point|punto|\.){CLOSE}|[ \t]+dot[ \t]+)[A-Za-z0-9])")
 
+AT_DOMAIN = re.compile(r"(?i)[ \t]+at[ \t]+(?=(?:[a-z0-9-]+\.)+[a-z]{2,})")
+
+
+def _addressee(text: str, end: int) -> bool:
+    """Whether what stands before a bare "at" can only be the local part of an address: letters with a digit, dot or underscore inside."""
+    start = end
+    while start > max(0, end - 64) and text[start - 1] in LOCAL:
+        start -= 1
+    name = text[start:end]
+    return any(c.isalpha() for c in name) and name[-1:] != "." and any(c in "._0123456789" for c in name[1:])
+
 
 class Trace:
     """A rewritten text and the segments that lead back: (start in the copy, start in the source, source length if changed)."""
@@ -158,9 +169,10 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
     parts = []
     if "at" in low and re.search(r"[\[({<][ \t]*at|[ \t]at[ \t]", low) or " @" in low or "@ " in low or re.search(r"[\[({<][ \t]*@", low):
         parts += [(m.start(), m.end(), "@") for m in AT.finditer(text)] + [(m.start(), m.end(), "@") for m in BARE_AT.finditer(text)]
+        parts += [(m.start(), m.end(), "@") for m in AT_DOMAIN.finditer(text) if _addressee(text, m.start())]
     if "dot" in low or "pun" in low or "point" in low or re.search(r"[\[({<][ \t]*\.", low):
         parts += [(m.start(), m.end(), ".") for m in DOT.finditer(text)]
-    return sorted(parts)
+    return sorted(set(parts))
 
 
 #: In this order; each works on the copy that the one before has made.
