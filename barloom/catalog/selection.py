@@ -340,11 +340,11 @@ _UNIT = lambda c: f"CASE WHEN {c} IS NULL THEN 0.5 WHEN {c} >= 0 THEN least({c},
 ORACLE["channel_fusion"] = f"""WITH {EV_SQL}, {PM_SQL}, q AS (SELECT *, CAST(substr(feature, 2) AS INT) AS i FROM pm),
 w0 AS (SELECT period, target, {_UNIT('max(base_score)')} AS base_metric, {_UNIT('max(base_score / 2)')} AS rich_metric FROM q GROUP BY 1, 2),
 w AS (SELECT *, greatest(0, least(1, rich_metric / greatest(1e-8, base_metric + rich_metric) * CASE WHEN period = '4h' THEN 0.7 ELSE 1 END)) AS w_rich FROM w0),
-f AS (SELECT feature, q.period, q.target, CASE WHEN i < 40 THEN score_local ELSE 0 END AS score_base, CASE WHEN i >= 24 THEN score_local ELSE 0 END AS score_rich, w_rich, 1 - w_rich AS w_base, base_metric, rich_metric
+f AS (SELECT feature, q.period, q.target, q.era, CASE WHEN i < 40 THEN score_local ELSE 0 END AS score_base, CASE WHEN i >= 24 THEN score_local ELSE 0 END AS score_rich, w_rich, 1 - w_rich AS w_base, base_metric, rich_metric
 FROM q JOIN w ON q.period = w.period AND q.target = w.target),
 fz AS (SELECT *, w_base * score_base + w_rich * score_rich AS score_local FROM f),
 h AS (SELECT *, ({_avg_rank('score_local')}) / count(*) OVER (PARTITION BY period, target) AS rank_pct FROM fz)
-SELECT feature, period, target, """ + ", ".join(settle_sql(c) for c in ("score_base", "score_rich", "w_rich", "w_base", "base_metric", "rich_metric", "score_local", "rank_pct")) + " FROM h"
+SELECT feature, period, target, era, """ + ", ".join(settle_sql(c) for c in ("score_base", "score_rich", "w_rich", "w_base", "base_metric", "rich_metric", "score_local", "rank_pct")) + " FROM h"
 
 
 @query

@@ -98,16 +98,13 @@ def match_normalised(wanted: Iterable[str], columns: Iterable[str], period: str)
     return out
 
 
-_FAMILY_TAILS = re.compile(r"(?:_roll_\d+|_ewma_\d+|_\d+[smhdw]?)$")
+#: Window suffixes at the end of a name, in the syntax that Python and Spark share.
+FAMILY_TAIL = r"((_roll_\d+)|(_ewma_\d+)|(_\d+[smhdw]?))+$"
 
 
 def family_key(name: str) -> str:
-    """Strip window suffixes repeatedly: x_roll_20, x_ewma_5 and x_24h share the family x."""
-    while True:
-        shorter = _FAMILY_TAILS.sub("", name)
-        if shorter == name or not shorter:
-            return name
-        name = shorter
+    """A name without its window suffixes: x_roll_20, x_ewma_5 and x_24h share the family x."""
+    return re.sub(FAMILY_TAIL, "", name) or name
 
 
 def resolve_features(

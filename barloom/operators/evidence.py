@@ -141,7 +141,12 @@ def metric_to_unit(score: Column) -> Column:
 
 
 def fuse_channels(base: DataFrame, rich: DataFrame, quality: Mapping[str, float] | None = None) -> DataFrame:
-    """Base and rich scores weighted by each channel's validation metric and the period's rich quality."""
+    """Base and rich scores weighted by each channel's validation metric and the period's rich quality.
+
+    Where both channels have an era, scores meet and are ranked within it, and it stays.
+    """
+    era = [c for c in ("era",) if c in base.columns and c in rich.columns]
+    keys = ["feature", *PAIR, *era]
 
     def pair_metric(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*PAIR).agg(metric_to_unit(F.max("base_score")).alias(name))
@@ -156,14 +161,14 @@ def fuse_channels(base: DataFrame, rich: DataFrame, quality: Mapping[str, float]
         *PAIR, zero("base_metric").alias("base_metric"), zero("rich_metric").alias("rich_metric"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), share * q)).alias("w_rich"),
     ).withColumn("w_base", 1.0 - F.col("w_rich"))
-    b = base.select("feature", *PAIR, F.col("score_local").alias("score_base"))
-    r = rich.select("feature", *PAIR, F.col("score_local").alias("score_rich"))
-    both = b.join(r, ["feature", *PAIR], "full_outer").join(metrics, list(PAIR))
+    b = base.select(*keys, F.col("score_local").alias("score_base"))
+    r = rich.select(*keys, F.col("score_local").alias("score_rich"))
+    both = b.join(r, keys, "full_outer").join(metrics, list(PAIR))
     fused = both.select(
-        "feature", *PAIR, zero("score_base").alias("score_base"), zero("score_rich").alias("score_rich"),
+        *keys, zero("score_base").alias("score_base"), zero("score_rich").alias("score_rich"),
         "w_base", "w_rich", "base_metric", "rich_metric",
     ).withColumn("score_local", F.col("w_base") * F.col("score_base") + F.col("w_rich") * F.col("score_rich"))
-    ranked = group_rank(fused, PAIR, "score_local", "_rank").withColumn("_n", _pair_size())
+    ranked = group_rank(fused, [*PAIR, *era], "score_local", "_rank").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*PAIR, *era)))
     return ranked.withColumn("rank_pct", F.col("_rank") / F.col("_n")).drop("_rank", "_n")
 
 

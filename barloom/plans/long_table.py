@@ -54,7 +54,7 @@ def feature_table(bars: DataFrame, period: str, benchmark: str | None = None) ->
     out = staged(norms.guarded_slopes(out, period), "sloped")
     window = PERIODS[period].norm_window
     cols = [c for c in NORMALISED if c in out.columns]
-    out = staged(norms.rolling_norms(out, cols, window), "normed")
+    out = staged(norms.rolling_norms(out, cols, window, wide=True), "normed")
     normed = [c + s for c in cols for s in norm_suffixes(period)]
     return norms.trim_warm_up(out, window, normed, time_bucket(out))
 

@@ -30,8 +30,9 @@ def read_evidence(spark: SparkSession, root: str) -> DataFrame:
 
     try:
         return spark.read.csv(f"{root}/summary.csv", header=True, inferSchema=True)
-    except AnalysisException:
-        pass
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     raw = spark.read.csv(f"{root}/*/*_importances.csv", header=True, inferSchema=True)
     path = F.input_file_name()
     return raw.drop("period", "target").select(

@@ -156,7 +156,9 @@ def read_series(spark: SparkSession, root: str, key: str, spec: Series, path: st
         return None
     try:
         raw = spark.read.csv(f"{root}/{path or spec.path}", header=True)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     if "timestamp" not in raw.columns:
         if "time" in raw.columns:
