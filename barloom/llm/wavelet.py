@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -160,10 +160,34 @@ class WaveletMatrix:
         return out
 
 
+class Uneven(Exception):
+    """A text whose spaces do not all stand alone between words."""
+
+
+class Remembered(dict):
+    """Values made when first asked for; the last CACHE to twice as many are kept, save long keys and those across lines."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST and "\n" not in key:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class LibraryEncoder:
     """Encodes with the tokenizers library; stretches of text that no pre-token crosses are encoded once and remembered.
 
-    What is remembered of a stretch is its ids as little-endian bytes, so a text's ids are one join.
+    What is remembered of a stretch is its ids as little-endian bytes, so a text's ids are one join. Most texts are cut at single
+    spaces; where a space meets other white space, the stretches are found one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -177,61 +201,35 @@ class LibraryEncoder:
         self.library.no_padding()
         self.model, self.letters = self.library.model, byte_letters()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was remembered before the last change
+        self.stretches, self.spaced = Remembered(self._stretch), Remembered(self._spaced)
         self.depth = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.specials):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        stretches, seen = STRETCH.findall(text), self.seen
+        first, *words = text.split(" ")
         try:
-            raw = b"".join([seen[s] for s in stretches])
-        except KeyError:
-            if len(seen) > CACHE:
-                seen, self.older = {}, seen
-                self.seen = seen
-            new = {s for s in stretches if s not in seen}
-            self._learn(new)
-            raw = b"".join([seen[s] for s in stretches])
-            for s in new:
-                if len(s) > LONGEST:
-                    del seen[s]
+            raw = b"".join([*map(self.stretches.__getitem__, STRETCH.findall(first)), *map(self.spaced.__getitem__, words)])
+        except Uneven:
+            raw = b"".join(map(self.stretches.__getitem__, STRETCH.findall(text)))
         return np.frombuffer(raw, "<u4")
 
-    def _learn(self, stretches: set[str]) -> None:
-        """Remember the ids of stretches. Letters are a single pre-token, and marks behind them another."""
-        seen, older, word = self.seen, self.older, self._word
-        mixed = []
-        for s in stretches:
-            if (ids := older.get(s)) is not None:
-                seen[s] = ids
-                continue
-            core = s.rstrip(MARKS)
-            if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
-                if len(core) == len(s):
-                    seen[s] = word(s)
-                    continue
-                ids = seen.get(core) or older.get(core)
-                if ids is None:
-                    ids = word(core)
-                    if len(core) <= LONGEST:
-                        seen[core] = ids
-                tail = s[len(core) :]
-                marks = seen.get(tail)
-                if marks is None:
-                    marks = word(tail)
-                    if len(tail) <= LONGEST:
-                        seen[tail] = marks
-                seen[s] = ids + marks
-            else:
-                mixed.append(s)
-        if mixed:
-            encoded = self.library.encode(mixed, is_pretokenized=True, add_special_tokens=False)
-            ids, owners = np.asarray(encoded.ids, "<u4"), np.asarray(encoded.word_ids)
-            ends = np.searchsorted(owners, np.arange(len(mixed)), side="right").tolist()
-            for s, a, b in zip(mixed, [0, *ends], ends, strict=False):
-                seen[s] = ids[a:b].tobytes()
+    def _spaced(self, word: str) -> bytes:
+        """The ids of a space and what follows it up to the next; neither may meet other white space."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise Uneven
+        parts = STRETCH.findall(f" {word}")
+        return self._stretch(parts[0]) if len(parts) == 1 else b"".join([self.stretches[p] for p in parts])
+
+    def _stretch(self, stretch: str) -> bytes:
+        """The ids of a stretch. Letters are a single pre-token, and marks behind them another."""
+        core = stretch.rstrip(MARKS)
+        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+            if len(core) == len(stretch):
+                return self._word(stretch)
+            return self.stretches[core] + self.stretches[stretch[len(core) :]]
+        ids = self.library.encode(stretch, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, pretoken: str) -> bytes:
         """The ids of one pre-token, from the library's model."""
