@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from barloom.llm.shared import id_and_text, schema, staged, table
 from barloom.llm.words import mixed, selected
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 48
 REACH = LENGTH - GRAM  # bytes beside an anchor that a string around it can hold
 SEGMENT = 1 << 21  # bytes of a text hashed at once
 HOT = 20_000  # contexts of a bucket refined in one task
@@ -41,15 +41,25 @@ COVER, CONTEXT, CROWDED = 0, 1, 2
 KEY = {"id": "bigint", "copy": "int"}
 
 
-def gram_ids(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on, doubling the length."""
+def gram_ids(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of so many bytes from each place on, put together from those of 1, 2, 4 ... bytes."""
     values = mixed(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    width = 1
-    while width < GRAM:
-        values = values[:-width] * np.uint64(0xD6E8FEB86659FD93) + (values[width:] ^ (values[width:] >> np.uint64(29)))
-        values ^= values >> np.uint64(32)
+    width, out, done = 1, None, 0
+    while True:
+        if length & width:
+            out = values if out is None else _followed(out, values[done:])
+            done += width
         width *= 2
-    return mixed(values)
+        if width > length:
+            return mixed(out)
+        values = _followed(values, values[width // 2 :])
+
+
+def _followed(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Hashes of two strings in a row."""
+    n = min(len(first), len(later))
+    values = first[:n] * np.uint64(0xD6E8FEB86659FD93) + (later[:n] ^ (later[:n] >> np.uint64(29)))
+    return values ^ (values >> np.uint64(32))
 
 
 def anchors(raw: bytes, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +68,7 @@ def anchors(raw: bytes, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]
     for start in range(0, max(1, len(raw) - LENGTH + 1), segment):
         part = np.frombuffer(raw, np.uint8, min(segment + LENGTH - 1, len(raw) - start), start)
         if len(part) >= LENGTH:
-            grams = gram_ids(part)
+            grams = gram_ids(part, GRAM)
             kept = selected(grams, REACH + 1)
             places.append(kept + start)
             hashes.append(grams[kept])
@@ -264,7 +274,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes around each wanted occurrence (h, id, copy, place, extent)."""
-    lists = wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("h", "place", "extent")).alias("wanted"))
+    lists = wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("h", (F.shiftleft("place", 16) + F.col("extent")).alias("spot"))).alias("wanted"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker = zstandard.ZstdDecompressor()
@@ -273,7 +283,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for id_, copy, packed, places in zip(frame["id"], frame["copy"], frame["packed"], frame["wanted"], strict=True):
                 raw = unpacker.decompress(packed)
                 for x in places:
-                    place, extent = x["place"], x["extent"]
+                    place, extent = x["spot"] >> 16, x["spot"] & 0xFFFF
                     rows.append((x["h"], id_, copy, place, extent, raw[place - (extent >> 8) : place + GRAM + (extent & 255)]))
             yield pd.DataFrame(rows, columns=["h", "id", "copy", "place", "extent", "context"])
 
