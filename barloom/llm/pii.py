@@ -75,7 +75,7 @@ DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight"
 FOREIGN = re.compile(f"[{''.join(LOOK_ALIKE)}{INVISIBLE}\\u00b2\\u00b3\\u00b9\\u0660-\\u0669\\u06f0-\\u06f9\\u0966-\\u096f\\u2010-\\u2015\\u2024\\u2070-\\u209c\\u2212\\u2460-\\u2468\\ufe52\\ufe6b\\uff01-\\uff5e\\U0001d400-\\U0001d7ff]")
 WORD = f"(?:{'|'.join(DIGITS)}|oh)"
 SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{WORD}|[0-9])(?:(?:[ ,]{{0,2}}| ?- ?)(?:{WORD}|[0-9]))*(?![^\W_])")
-SPELLED_PART = re.compile(rf"(?i){WORD}|[0-9]")
+SPELLED_PART = re.compile(rf"(?i)(zero|oh)|{'|'.join(f'({w})' for w in DIGITS[1:])}|[0-9]")  # the group says which digit
 PLUS = re.compile(rf"(?i)(?<![^\W_])plus +(?={WORD}\b|[0-9])")
 OPEN, CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 DOT = re.compile(rf"(?i)(?<=[^\W_])(?:{OPEN}(?:dot|punkt|point|punto|\.){CLOSE}|[ \t]+dot[ \t]+)(?=[^\W_])")
@@ -138,24 +138,19 @@ def _foreign(text: str) -> list[tuple[int, int, str]]:
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Digit words to digits; what separates neighbouring ones goes. A sequence without a word stays."""
-    low = text.lower()
-    present = [w for w in DIGITS if w in low]
-    if len(present) < 2 and not any(low.count(w) >= 3 for w in present):
+    low = text.casefold()
+    if "oh" not in low and not any(w in low for w in DIGITS):
         return []
     parts = []
     for m in SPELLED.finditer(text):
-        found = list(SPELLED_PART.finditer(text, m.start(), m.end()))
-        if sum(len(p[0]) > 1 for p in found) < 2 and not (len(found) == 1 and ("dot" in low or "." in text[m.start() - 1 : m.end() + 1])):
-            continue
-        if all(len(p[0]) == 1 for p in found):
+        if not any(map(str.isalpha, m[0])):
             continue
         at = m.start()
-        for p in found:
+        for p in SPELLED_PART.finditer(text, m.start(), m.end()):
             if p.start() > at:
                 parts.append((at, p.start(), ""))
-            if len(p[0]) > 1:
-                word = p[0].lower()
-                parts.append((p.start(), p.end(), "0" if word == "oh" else str(DIGITS.index(word))))
+            if p.lastindex:
+                parts.append((p.start(), p.end(), str(p.lastindex - 1)))
             at = p.end()
     return parts
 
@@ -179,11 +174,11 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
 TRANSDUCERS: tuple[Callable[[str], list[tuple[int, int, str]]], ...] = (_foreign, _plus, _spelled, _signs)
 
 
-def disguised_spans(text: str) -> list[Span]:
-    """Identifiers of the normalised copy that touch a rewritten place, at their source offsets."""
+def _spans_of_copy(text: str, transducers: tuple[Callable[[str], list[tuple[int, int, str]]], ...]) -> list[Span]:
+    """Identifiers of the copy that the transducers make, where they touch a rewritten place, at their source offsets."""
     traces: list[Trace] = []
     copy = text
-    for transducer in TRANSDUCERS:
+    for transducer in transducers:
         if parts := transducer(copy):
             traces.append(Trace(copy, parts))
             copy = traces[-1].text
@@ -197,10 +192,34 @@ def disguised_spans(text: str) -> list[Span]:
     return found
 
 
+def disguised_spans(text: str) -> list[Span]:
+    """Identifiers of the normalised copy that touch a rewritten place, at their source offsets.
+
+    A digit word can also be part of a name ("one.one at ..."), so a second copy leaves the words; it adds what overlaps nothing of its kind.
+    """
+    found = _spans_of_copy(text, TRANSDUCERS)
+    if _spelled(text):
+        words = _spans_of_copy(text, tuple(t for t in TRANSDUCERS if t is not _spelled))
+        found += [(a, k, b) for a, k, b in words if not any(k == kind and a < end and start < b for start, kind, end in found)]
+    return found
+
+
+def _goes_on(text: str, start: int, end: int) -> bool:
+    """Whether digit words right after the plain phone number [start, end) are its rest: numbers of country 1 have eleven digits, no more."""
+    digits = NOT_DIGIT.sub("", text[start:end])
+    return not (digits.startswith("1") and len(digits) >= 11)
+
+
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain spans, all spans): a disguised one is added where no plain one of its kind overlaps it."""
-    plain = plain_spans(text)
-    added = [(a, k, b) for a, k, b in disguised_spans(text) if not any(k == kind and a < end and start < b for start, kind, end in plain)]
+    """(plain spans, all spans): a disguised one is added where no plain one of its kind overlaps it.
+
+    A phone number whose last digits are words is plain up to there; then the whole number is a span besides the plain one.
+    """
+    plain, added = plain_spans(text), []
+    for a, k, b in disguised_spans(text):
+        over = [(start, end) for start, kind, end in plain if k == kind and a < end and start < b]
+        if not over or k == 3 and len(over) == 1 and over[0][0] == a and over[0][1] < b and "," not in text[over[0][1] : b] and _goes_on(text, *over[0]):
+            added.append((a, k, b))
     return plain, sorted(plain + added)
 
 

@@ -85,3 +85,27 @@ def test_masks(spark):
     assert [r.m for r in docs.select(pii.masked(F.col("text")).alias("m")).collect()] == ["a <EMAIL>, <PHONE> <EMAIL>.", None, ""]
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("text", "part", "kind"),
+    [
+        ("host ip 10.0.0.five up", "10.0.0.five", 1),
+        ("host 192 dot 168 dot 1 dot five up", "192 dot 168 dot 1 dot five", 1),
+        ("call +1 415 555 26 two two now", "+1 415 555 26 two two", 3),
+        ("call +1 415 555 261 seven now", "+1 415 555 261 seven", 3),
+        ("write one.one at example.com soon", "one.one at example.com", 0),
+        ("card 4111 1111 1111 111one ok", "4111 1111 1111 111one", 2),
+        ("call +1 415 555 261 \u017feven now", "+1 415 555 261 \u017feven", 3),
+    ],
+)
+@pytest.mark.parametrize("tail", ["", " phone, none"])
+def test_one_spelled_digit_counts_whatever_else_the_text_holds(text, part, kind, tail):
+    start = text.index(part)
+    assert (start, kind, start + len(part)) in pii.find_spans(text + tail)[1]
+
+
+def test_a_phone_number_that_ends_in_words_is_masked_whole():
+    assert pii.mask_text("call +1 415 555 26 two two now") == "call <PHONE> now"
+    assert pii.mask_text("call +1 415 555 2617 one of us") == "call <PHONE> one of us"
+    assert pii.mask_text("call +44 20 7946 0953, two people") == "call <PHONE>, two people"
