@@ -59,19 +59,39 @@ def streamed_bars_once(spark, sf):
 ORACLE["streamed_bars_once"] = f"WITH {bars_sql('4h')} SELECT symbol, period, timestamp, {settle_sql('close')} FROM bars"
 
 
-def _stateful(spark, stream, processor, name):
+def _late_files(spark, sf, period: str, cuts: int):
+    """The bar table as files, every third bar of a time slice one slice late, and repeats; and how late a bar can come.
+
+    A last bar of no symbol, far ahead, moves the watermark past all others and stays in the state.
+    """
+    table_ = bars(spark, sf, period)
+    lo, hi = table_.agg(F.min("timestamp"), F.max("timestamp")).first()
+    width = (hi - lo) // cuts + 1
+    part, held = F.floor((F.col("timestamp") - lo) / width), F.pmod(F.xxhash64("timestamp"), F.lit(3)) == 0
+    path = staging_path(spark, "arrivals")
+    for i in range(cuts + 1):
+        arrived = table_.filter(((part == i) & ~held) | (part == i - 1))
+        arrived.repartition("symbol").write.mode("append").parquet(path)  # one file per symbol and arrival
+    end = (F.lit(hi) + 4 * width).cast("long")
+    last = table_.limit(1).withColumns({"symbol": F.lit(None).cast("string"), "timestamp": end, "datetime": F.timestamp_millis(end)})
+    last.select(table_.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(table_.schema).option("maxFilesPerTrigger", 1).parquet(path), f"{3 * width} milliseconds"
+
+
+def _stateful(spark, arrivals, processor, name):
+    stream, late = arrivals
     before = spark.conf.get(st.STATE_CONF)
     spark.conf.set(st.STATE_CONF, st.ROCKSDB)
     try:
-        return st.run_available(st.stateful(stream, processor), staging_path(spark, name))
+        return st.run_available(st.stateful(stream, processor, late), staging_path(spark, name))
     finally:
         spark.conf.set(st.STATE_CONF, before)
 
 
 @query
 def streamed_ema(spark, sf):
-    """Exponential averages kept in keyed state over three arrivals."""
-    return settled(_stateful(spark, _bar_files(spark, sf, "1d", 3, repeat=True), st.EmaState((12, 26)), "ema"), KEY)
+    """Exponential averages kept in keyed state over arrivals out of order."""
+    return settled(_stateful(spark, _late_files(spark, sf, "1d", 3), st.EmaState((12, 26)), "ema"), KEY)
 
 
 ORACLE["streamed_ema"] = f"""WITH RECURSIVE {bars_sql('1d')}, b AS MATERIALIZED (SELECT *, row_number() OVER ({W}) AS pos FROM bars),
@@ -81,8 +101,8 @@ SELECT symbol, period, timestamp, {settle_sql('ema_12')}, {settle_sql('ema_26')}
 
 @query
 def streamed_parabolic_stop(spark, sf):
-    """The parabolic stop kept in keyed state over three arrivals."""
-    return settled(_stateful(spark, _bar_files(spark, sf, "1d", 3), st.StopState(), "stop"), KEY)
+    """The parabolic stop kept in keyed state over arrivals out of order."""
+    return settled(_stateful(spark, _late_files(spark, sf, "1d", 3), st.StopState(), "stop"), KEY)
 
 
 ORACLE["streamed_parabolic_stop"] = f"SELECT symbol, period, timestamp, psar FROM ({REC['parabolic_stop']})"

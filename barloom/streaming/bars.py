@@ -39,25 +39,44 @@ def once_per_bar(bars: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 class _Keyed(StatefulProcessor):
-    """Runs rows of one key in time order; bars at or before the last one seen are skipped."""
+    """Runs the bars of one key in time order. Bars wait until the watermark has passed them; of repeats the first arrival counts."""
 
     schema = "last long, v array<double>"
+    waiting = f"{TIME} long, high double, low double, close double"
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", self.schema)
+        self.pending = handle.getListState("pending", self.waiting)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(TIME, kind="stable")
-        last, values = self.state.get() if self.state.exists() else (None, None)
-        if last is not None:
-            batch = batch[batch[TIME] > last]
-        batch = batch.drop_duplicates(TIME).reset_index(drop=True)
+        batch = pd.concat(list(rows))
+        if self.state.exists():
+            batch = batch[batch[TIME] > self.state.get()[0]]
+        batch = batch.drop_duplicates(TIME)
         if len(batch):
-            out, values = self.advance(batch, None if values is None else [float(v) for v in values])
-            self.state.update((int(batch[TIME].iloc[-1]), [float(v) for v in values]))
-            for name, value in zip(KEYS, key):
-                out[name] = value
-            yield out[[*KEYS, TIME, *self.outputs]]
+            values = [[None if pd.isna(v) else float(v) for v in batch[c]] for c in ("high", "low", "close")]
+            self.pending.appendList(list(zip(map(int, batch[TIME]), *values)))
+            self.handle.registerTimer(int(batch[TIME].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        bars = pd.DataFrame(list(self.pending.get()), columns=[TIME, "high", "low", "close"]).drop_duplicates(TIME)
+        bars = bars.astype({c: float for c in ("high", "low", "close")})
+        batch, rest = bars[bars[TIME] <= passed].sort_values(TIME).reset_index(drop=True), bars[bars[TIME] > passed]
+        if not len(batch):
+            return
+        self.pending.clear()
+        if len(rest):
+            self.pending.appendList([(int(t), *(None if pd.isna(v) else float(v) for v in row)) for t, *row in rest.itertuples(index=False)])
+            self.handle.registerTimer(int(rest[TIME].min()))
+        values = self.state.get()[1] if self.state.exists() else None
+        out, values = self.advance(batch, None if values is None else [float(v) for v in values])
+        self.state.update((int(batch[TIME].iloc[-1]), [float(v) for v in values]))
+        for name, value in zip(KEYS, key):
+            out[name] = value
+        yield out[[*KEYS, TIME, *self.outputs]]
 
     def close(self) -> None:
         pass
@@ -106,12 +125,15 @@ class StopState(_Keyed):
         return out, [*states[-1], *high[-2:], *low[-2:]]
 
 
-def stateful(bars: DataFrame, processor: _Keyed) -> DataFrame:
-    """Apply a keyed processor to a bar stream. Needs the RocksDB state store (`STATE_CONF`)."""
+def stateful(bars: DataFrame, processor: _Keyed, late: str = "2 days") -> DataFrame:
+    """Apply a keyed processor to a bar stream. Needs the RocksDB state store (`STATE_CONF`).
+
+    A bar may come late by `late` after the latest one of all keys, in any order; it is emitted when the watermark has passed it.
+    """
     fields = [T.StructField(k, T.StringType()) for k in KEYS]
     fields += [T.StructField(TIME, T.LongType())] + [T.StructField(o, T.DoubleType()) for o in processor.outputs]
-    return bars.select(*KEYS, TIME, "high", "low", "close").groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None"
+    return bars.withWatermark("datetime", late).select(*KEYS, TIME, "datetime", "high", "low", "close").groupBy(*KEYS).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime"
     )
 
 
