@@ -58,8 +58,8 @@ UNION ALL SELECT symbol, count(*) FILTER (WHERE avg_price IS NOT NULL AND order_
 def feature_screening(spark, sf):
     """Vector features screened against one class label over one period."""
     df = matrix(spark, sf).withColumns({"symbol": F.lit("ALL"), "period": F.lit("1d"), "timestamp": F.col("vec_id") * 86_400_000})
-    cols = [*[f"f{i}" for i in range(6)], "f_planted", "f_const", "f_copy_20"]
-    s = screening.ScreeningSettings(topk=4, trees=10, repeats=1, rounds=1, wrapper_rounds=1)
+    cols = [*[f"f{i}" for i in range(16)], "f_planted", "f_const", "f_copy_20"]
+    s = screening.ScreeningSettings(topk=4, trees=10, repeats=1, rounds=1)
     out = screening.screen(df.select("symbol", "period", "timestamp", "vec_id", "target_binarytrend", *cols), cols, ["target_binarytrend"], ["vec_id"], ["f0"], s)
     return out["final"]
 

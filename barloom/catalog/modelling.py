@@ -65,7 +65,7 @@ def cyclic_permutation(spark, sf):
 @query
 def backward_elimination(spark, sf):
     train, val = _halves(spark, sf)
-    keep, score = models.backward_elimination(train, val, COLS[-6:], {TARGET: 1.0}, trees=10, max_rounds=2)
+    keep, score = models.backward_elimination(train, val, COLS, {TARGET: 1.0}, trees=10)
     return spark.createDataFrame([(k, score) for k in keep], "feature string, score double")
 
 
@@ -123,4 +123,4 @@ def temperature_scaling(spark, sf):
 def label_evidence(spark, sf):
     """All kinds of evidence for one label, joined per feature."""
     train, val = _halves(spark, sf)
-    return models.evidence_for(train, val, COLS[-8:], TARGET, ["vec_id"], trees=10, repeats=1, rounds=1)
+    return models.evidence_for(train, val, COLS, TARGET, ["vec_id"], trees=10, repeats=1, rounds=1)
