@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, divergence, lineblocks, pii, quality, repeats, simhash, vptree, wavelet, winnow
+from barloom.llm import bpe, chat, divergence, lineblocks, pii, quality, repair, repeats, simhash, vptree, wavelet, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_bytes": repeats.op9_repeated_bytes,
     "op10_wavelet_token_files": wavelet.op10_wavelet_token_files,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_structure_repair": repair.op12_structure_repair,
 }
 
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op2_vantage_point_search": vptree.OP2_SQL,
     "op11_source_divergence": divergence.OP11_SQL,
+    "op12_structure_repair": repair.OP12_SQL,
 }
