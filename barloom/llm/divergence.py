@@ -10,7 +10,7 @@ of sources, so that no task holds a language.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import schema, staged, table
+from barloom.llm.shared import integer_divided as _div
+from barloom.llm.shared import salted, schema, staged, table
 
 SCALE, LEAST_DOCS, RANKS = 10**9, 10, 10
 HELD = 1 << 19  # distinct (group, term) entries that a worker gathers before it hands them on
 BLOCK, TILE = 4096, 64  # terms and sources of one task's share of the pair sums
-SALT = 32
 GROUP = ["lang", "source"]
 
 #: ASCII letters in lower case, and bytes of characters beyond ASCII; anything else separates.
@@ -62,16 +62,6 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def salted(left: DataFrame, right: DataFrame, on: Sequence[str], by: Column) -> DataFrame:
-    """Inner join with a small right side of one row a key, on a key that many left rows share: those are dealt over SALT copies."""
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(copies, [*on, "_salt"]).drop("_salt")
-
-
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
-
-
 def share(count: Column, terms: Column, total: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 * terms)); the long division in steps of 1000 stays inside a long."""
     rest, whole = count + 2, total + 2 * terms

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, divergence, lineblocks, pii, quality, repair, repeats, simhash, vptree, wavelet, winnow
+from barloom.llm import bpe, chat, divergence, lineblocks, mixing, pii, quality, repair, repeats, simhash, vptree, wavelet, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_wavelet_token_files": wavelet.op10_wavelet_token_files,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_structure_repair": repair.op12_structure_repair,
+    "op13_entropy_mixing": mixing.op13_entropy_mixing,
 }
 
 ORACLE: dict[str, str] = {

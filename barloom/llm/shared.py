@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.sources.staging import checkpoint_dir
 
+SALT = 32
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share; it is deleted when the JVM ends."""
@@ -72,3 +75,14 @@ def unused_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def salted(left: DataFrame, right: DataFrame, on: Sequence[str], by: Column) -> DataFrame:
+    """Inner join with a small right side of one row a key, on a key that many left rows share: those are dealt over SALT copies."""
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def integer_divided(a: Column, b: Column) -> Column:
+    """The whole part of a quotient of integers or decimals, as a long."""
+    return F.call_function("div", a, b)
