@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from barloom.operators.carry import carried
 from barloom.schema import KEYS, TIME, step_ms
 
 CHUNK_ROWS_CONF = "barloom.chunk.rows"
@@ -121,29 +122,24 @@ def halo_chunks(
     bucket = time_bucket(df, order) if bucket is None else bucket
     df = df.withColumn(_BUCKET, known_bucket(bucket))
 
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     before, n, size = F.col(_BEFORE), F.col("_n"), F.col("_size")
     chunk_of = lambda row: F.floor(row / size)
     rows = _conf_int(df, BUCKET_ROWS_CONF, DEFAULT_BUCKET_ROWS)
+    new = (F.lit(0) if renewed is None else F.least(renewed, F.lit(rows))).cast("long")
+    counts = df.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n"), new.alias("_new"))
+    sized = counts.withColumns({"_rows": F.col("_n"), "_widest": F.col("_n"), "_tail": F.col("_n")})
+    earlier = carried(sized, keys, _BUCKET, {"_n": "sum", "_new": "sum"}, {"_rows": "sum", "_widest": "max", "_tail": "last"})
+    earlier = earlier.withColumnsRenamed({"_n": _BEFORE, "_new": "_new_before"}).na.fill(0, [_BEFORE, "_new_before"])
     if not back:
         reached = F.col("_home")
     elif renewed is None:
-        reached = F.least(chunk_of(before + n + back - 1), F.max("_home").over(group))
+        reached = F.least(chunk_of(before + n + back - 1), chunk_of(F.col("_rows") - F.col("_tail")))
     else:
-        reached = F.max("_home").over(group.orderBy("_new_before").rangeBetween(Window.currentRow, back + rows))
+        reached = F.max("_home").over(Window.partitionBy(*keys).orderBy("_new_before").rangeBetween(Window.currentRow, back + rows))
     layout = (
-        df.groupBy(*keys, _BUCKET)
-        .agg(F.count(F.lit(1)).alias("_n"), (F.lit(0) if renewed is None else F.least(renewed, F.lit(rows))).cast("long").alias("_new"))
-        .withColumns(
-            {
-                "_new_before": F.coalesce(F.sum("_new").over(earlier), F.lit(0)),
-                _BEFORE: F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
-                "_widest": F.max("_n").over(group),
-                # short groups are cut finer, as long as the halo stays a fraction of the chunk
-                "_size": F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.sum("_n").over(group) / parts))),
-            }
-        )
+        counts.join(earlier, [*keys, _BUCKET])
+        # short groups are cut finer, as long as the halo stays a fraction of the chunk
+        .withColumn("_size", F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col("_rows") / parts))))
         .withColumn("_home", chunk_of(before))
         .withColumns(
             {

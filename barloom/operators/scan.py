@@ -2,7 +2,7 @@
 
 Both are associative: a bucket is reduced to one row, the reduced rows are scanned per group, and
 each row combines its bucket's carry-in with a window inside its own bucket. No task ever holds
-more than one bucket of rows plus the group's bucket summary.
+more than one bucket of rows, or the reduced rows of one super-bucket (`barloom.operators.carry`).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.operators.carry import carried
 from barloom.operators.chunks import known_bucket, restored_keys, stand_in_keys
 
 _IN = "_carry_"
@@ -52,11 +53,8 @@ def bucketed_scan(
         F.max_by(F.col(f"_in_{k}"), F.when(F.col(f"_in_{k}").isNotNull(), stamp)).alias(_IN + k) for k in lasts
     ]
     partial += [F.max(f"_in_{k}").alias(_IN + k) for k in peaks]
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carried = {_IN + k: F.sum(_IN + k).over(earlier) for k in sums}
-    carried |= {_IN + k: F.last(_IN + k, ignorenulls=True).over(earlier) for k in lasts}
-    carried |= {_IN + k: F.max(_IN + k).over(earlier) for k in peaks}
-    carry = source.groupBy(*keys, bucket).agg(*partial).withColumns(carried)
+    kinds = {k: "sum" for k in sums} | {k: "last" for k in lasts} | {k: "max" for k in peaks}
+    carry = carried(source.groupBy(*keys, bucket).agg(*partial), keys, bucket, {_IN + k: kind for k, kind in kinds.items()})
 
     end = -1 if before else Window.currentRow
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
