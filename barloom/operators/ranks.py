@@ -1,8 +1,10 @@
 """Exact ranks, quantiles and frequencies over whole columns, without one global sort task.
 
-Values are counted first, so a value that fills a third of the rows becomes one row. The distinct
-values of a key are then cut into ranges by an approximate quantile sketch and scanned range by
-range; the sketch only balances the ranges, the ranks are exact.
+Ranks: values are counted first, so a value that fills a third of the rows becomes one row. The distinct values are sorted over
+ranges, cut into blocks along that order, and scanned block by block; a task grows with neither rows nor distinct values.
+
+Quantiles: no sort. The span that holds a wanted rank is narrowed by counting its rows in bins, map-side, so what is shuffled is a row
+per bin. Once the spans hold few rows, those are counted by value.
 """
 
 from __future__ import annotations
@@ -12,9 +14,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.nulls import ratio
+from barloom.operators.carry import carried
+from barloom.operators.chunks import restored_keys, stand_in_keys
 from barloom.operators.scan import bucketed_scan
+from barloom.sources.staging import staged
 
-_CUTS = 64
+BLOCK_BITS = 12  # rows of a block, as a power of two
+BINS = 1024  # parts of a span that are counted at once
+FEW = 1_000_000  # rows in the spans of all keys that are counted by value
 
 
 def long_form(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -23,6 +30,21 @@ def long_form(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str
     return wide.unpivot(list(ids), list(cols), name, value)
 
 
+def in_blocks(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """The rows, written in order, with `_place`, which grows along it, and `_block`, a run of at most 2^BLOCK_BITS places.
+
+    The sort is over ranges of all of `order`, so a key or value of many rows spans tasks and blocks.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    return staged(rows.withColumn("_block", F.shiftright("_place", BLOCK_BITS)), name)
+
+
+def last_known(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], lasts: Mapping[str, Column], name: str) -> DataFrame:
+    """Rows with the last known value of each of `lasts` along the order, the row's own included."""
+    placed = in_blocks(rows, [*keys, *order], name)
+    return bucketed_scan(placed, keys, ["_place"], "_block", lasts=lasts).drop("_place", "_block")
+
+
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per (keys, distinct value): n, before (rows with a smaller value), total (known rows).
 
@@ -33,23 +55,18 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[
         return whole.drop("_all")
     measures = {"n": F.lit(1).cast("long"), **(sums or {})}
     known = df.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(*[F.sum(x).alias(m) for m, x in measures.items()])
-    probs = F.array(*[F.lit(i / _CUTS) for i in range(1, _CUTS)])
+    counts = stand_in_keys(known.groupBy(*keys, value).agg(*[F.sum(x).alias(m) for m, x in measures.items()]), keys)
+    placed = in_blocks(counts, [*keys, value], "ranks").drop("_place")
     name = lambda prefix, m: prefix if m == "n" else f"{prefix}_{m}"
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, F.lit(1000)).alias("_cuts"),
-        *[F.sum(m).alias(name("total", m)) for m in measures],
-    )
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = counts.join(cuts, list(keys)).withColumn("_range", below).drop("_cuts")
-    scanned = bucketed_scan(placed, keys, [value], "_range", sums={f"_upto_{m}": F.col(m) for m in measures})
-    return scanned.select(
-        *keys,
-        value,
-        *measures,
-        *[(F.col(f"_upto_{m}") - F.col(m)).alias(name("before", m)) for m in measures],
-        *[name("total", m) for m in measures],
-    )
+    kinds = {f"_b_{m}": "sum" for m in measures}
+    totals = {name("total", m): "sum" for m in measures}
+    parts = placed.groupBy(*keys, "_block").agg(*[F.sum(m).alias(c) for names in (kinds, totals) for m, c in zip(measures, names, strict=True)])
+    carry = carried(parts, keys, "_block", kinds, totals)
+    inside = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    rows = placed.withColumns({f"_i_{m}": F.coalesce(F.sum(m).over(inside), zero) for m in measures}).join(carry, [*keys, "_block"])
+    before = {name("before", m): F.coalesce(F.col(f"_b_{m}"), zero) + F.col(f"_i_{m}") for m in measures}
+    return restored_keys(rows.withColumns(before)).select(*keys, value, *measures, *before, *totals)
 
 
 def average_rank() -> Column:
@@ -64,22 +81,58 @@ def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str =
     return df.join(ranks, [*keys, value], "left")
 
 
+def _bin(value: Column, low: Column, high: Column) -> Column:
+    """The part of [low, high] that a value is in: never falls as the value grows, 0 for low and the last for high.
+
+    Spans of many magnitudes are cut by logarithm, others evenly; halves keep a difference of extremes finite.
+    """
+    log = lambda x: F.signum(x) * F.log1p(F.abs(x))
+    wide = (log(high) - log(low)) > 1
+    share = F.when(wide, (log(value) - log(low)) / (log(high) - log(low))).otherwise((value / 2 - low / 2) / (high / 2 - low / 2))
+    return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles per key: columns q0, q1, … in the order of probs."""
-    ranked = ranked_values(df, keys, value)
-    first, last = F.col("before"), F.col("before") + F.col("n")
-    picks = []
-    for i, p in enumerate(probs):
-        at = (F.col("total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(at), F.ceil(at)
-        picks += [
-            F.max(F.when((first <= lo) & (lo < last), F.col(value))).alias(f"_lo{i}"),
-            F.max(F.when((first <= hi) & (hi < last), F.col(value))).alias(f"_hi{i}"),
-            F.max(at - lo).alias(f"_w{i}"),
-        ]
-    out = ranked.groupBy(*keys).agg(*picks)
-    mix = lambda i: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")
-    return out.select(*keys, *[mix(i).alias(f"q{i}") for i in range(len(probs))])
+    """Linear-interpolated quantiles per key: columns q0, q1, … in the order of probs.
+
+    Unknown values do not count; a key without a known value has no row.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = stand_in_keys(rows, keys) if keys else rows.withColumn("_all", F.lit(0))
+    by = list(keys) or ["_all"]
+    own = [*by, *[c for c in rows.columns if c.startswith("_unknown_")]]
+    at = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+    whole = staged(rows.groupBy(*own).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "spans")
+    # one row a wanted rank: the span that holds it, the rows below the span and in it
+    spans = whole.select(*own, F.explode(ranks).alias("_rank"), "_low", "_high", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"))
+    left = whole.where("_low < _high").agg(F.sum("_n")).first()[0]
+    while (left or 0) > FEW:
+        bins = _inside(rows, spans, by).groupBy(*by, "_low", F.col("_bin")).agg(F.count("*").alias("_m"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+        along = Window.partitionBy(*by, "_low").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("_under", F.coalesce(F.sum("_m").over(along), F.lit(0)))
+        found = spans.join(bins, [*by, "_low"], "left").where((F.col("_low") == F.col("_high")) | ((F.col("_rank") >= F.col("_below") + F.col("_under")) & (F.col("_rank") < F.col("_below") + F.col("_under") + F.col("_m"))))
+        new = {"_low": F.coalesce("_l", "_low"), "_high": F.coalesce("_h", "_high"), "_below": F.col("_below") + F.coalesce("_under", F.lit(0)), "_in": F.coalesce("_m", "_in")}
+        spans = staged(found.withColumns(new).select(*own, "_rank", "_low", "_high", "_below", "_in"), "spans")
+        left = spans.where("_low < _high").select(*by, "_low", "_in").distinct().agg(F.sum("_in")).first()[0]
+    counts = _inside(rows, spans, by).groupBy(*by, "_low", "_v").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*by, "_low").orderBy("_v"))
+    counts = counts.withColumn("_upto", upto)
+    found = spans.join(counts, [*by, "_low"], "left")
+    place = F.col("_rank") - F.col("_below")
+    found = found.where((F.col("_low") == F.col("_high")) | ((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_m"))))
+    values = found.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("_rank", F.coalesce("_v", "_low")))).alias("_at")).join(whole.select(*by, "_n"), by)
+    lo, hi = (lambda p, f=f: F.element_at("_at", f(at(p)).cast("long")) for f in (F.floor, F.ceil))
+    mixed = values.withColumns({f"q{i}": lo(p) + (hi(p) - lo(p)) * (at(p) - F.floor(at(p))) for i, p in enumerate(probs)})
+    return restored_keys(mixed).select(*keys, *[f"q{i}" for i in range(len(probs))])
+
+
+def _inside(rows: DataFrame, spans: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows in spans that hold more than one value: (keys, _low, _bin, _v). Spans of a key are equal or apart."""
+    open_spans = spans.where("_low < _high").groupBy(*by).agg(F.collect_set(F.struct("_low", "_high")).alias("_spans"))
+    span = F.get(F.filter("_spans", lambda s: (F.col("_v") >= s["_low"]) & (F.col("_v") <= s["_high"])), 0)
+    hit = rows.join(open_spans, by).withColumn("_span", span).where(F.col("_span").isNotNull())
+    return hit.select(*by, F.col("_span._low").alias("_low"), _bin(F.col("_v"), F.col("_span._low"), F.col("_span._high")).alias("_bin"), "_v")
 
 
 def column_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
