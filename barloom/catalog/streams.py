@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barloom.catalog.indicators import KEY, W
 from barloom.catalog.recursive import ORACLE as REC, ema, recursion
 from barloom.catalog.tables import bars, bars_sql, settle_sql, settled
-from barloom.sources.staging import staging_path
+from barloom.operators.kernels import averages, parabolic_stop
+from barloom.sources.staging import staged, staging_path
 from barloom.streaming import bars as st
 
 QUERIES: dict = {}
@@ -59,12 +60,12 @@ def streamed_bars_once(spark, sf):
 ORACLE["streamed_bars_once"] = f"WITH {bars_sql('4h')} SELECT symbol, period, timestamp, {settle_sql('close')} FROM bars"
 
 
-def _late_files(spark, sf, period: str, cuts: int):
+def _late_files(spark, sf, period: str, cuts: int, table_=None):
     """The bar table as files, every third bar of a time slice one slice late, and repeats; and how late a bar can come.
 
     A last bar of no symbol, far ahead, moves the watermark past all others and stays in the state.
     """
-    table_ = bars(spark, sf, period)
+    table_ = bars(spark, sf, period) if table_ is None else table_
     lo, hi = table_.agg(F.min("timestamp"), F.max("timestamp")).first()
     width = (hi - lo) // cuts + 1
     part, held = F.floor((F.col("timestamp") - lo) / width), F.pmod(F.xxhash64("timestamp"), F.lit(3)) == 0
@@ -78,12 +79,12 @@ def _late_files(spark, sf, period: str, cuts: int):
     return spark.readStream.schema(table_.schema).option("maxFilesPerTrigger", 1).parquet(path), f"{3 * width} milliseconds"
 
 
-def _stateful(spark, arrivals, processor, name):
+def _stateful(spark, arrivals, processor, name, history=None):
     stream, late = arrivals
     before = spark.conf.get(st.STATE_CONF)
     spark.conf.set(st.STATE_CONF, st.ROCKSDB)
     try:
-        return st.run_available(st.stateful(stream, processor, late), staging_path(spark, name))
+        return st.run_available(st.stateful(stream, processor, late, history), staging_path(spark, name))
     finally:
         spark.conf.set(st.STATE_CONF, before)
 
@@ -106,3 +107,35 @@ def streamed_parabolic_stop(spark, sf):
 
 
 ORACLE["streamed_parabolic_stop"] = f"SELECT symbol, period, timestamp, psar FROM ({REC['parabolic_stop']})"
+
+
+def _continued(spark, sf, processor, batch, name):
+    """Bars up to a day of 1996 in a batch, later ones in a stream that starts from the batch's ends; some old ones arrive again."""
+    all_bars = bars(spark, sf, "1d")
+    before, repeated = F.col("timestamp") < _DAY, F.col("timestamp") >= _DAY - 20 * 86_400_000
+    history = staged(processor.history(all_bars.where(before)), f"{name}-history")
+    arrivals = _late_files(spark, sf, "1d", 3, all_bars.where(~before | repeated))
+    streamed = _stateful(spark, arrivals, processor, name, history)
+    return settled(batch(all_bars.where(before)).select(streamed.columns).unionByName(streamed), KEY)
+
+
+_DAY = 830_000_000_000 // 86_400_000 * 86_400_000
+
+
+@query
+def continued_ema(spark, sf):
+    """Exponential averages of a batch, carried on by a stream."""
+    spans = (12, 26)
+    return _continued(spark, sf, st.EmaState(spans), lambda b: averages(b, spans), "continued-ema")
+
+
+ORACLE["continued_ema"] = ORACLE["streamed_ema"]
+
+
+@query
+def continued_parabolic_stop(spark, sf):
+    """The parabolic stop of a batch, carried on by a stream."""
+    return _continued(spark, sf, st.StopState(), parabolic_stop, "continued-stop")
+
+
+ORACLE["continued_parabolic_stop"] = ORACLE["streamed_parabolic_stop"]

@@ -13,9 +13,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from barloom.operators.chunks import Chunked, halo_chunks
+from barloom.operators.chunks import Chunked, halo_chunks, restored_keys
 from barloom.sources.staging import checkpointed
 
 Step = tuple[str, Callable[[pd.DataFrame], pd.Series]]
@@ -64,6 +64,12 @@ def with_recursive(ck: Chunked, df: DataFrame, steps: Sequence[Step]) -> DataFra
     return df.groupBy(*ck.chunk_keys).applyInPandas(run, schema)
 
 
+def averages(df: DataFrame, spans: Sequence[int]) -> DataFrame:
+    """Add ema_<span> of the close, adjusted at no bar."""
+    ck = halo_chunks(df, back=max(ema_halo(span_alpha(s)) for s in spans) + 1, renewed=renewing_rows())
+    return ck.owned(with_recursive(ck, ck.df, [(f"ema_{s}", ema("close", span=s, adjust=False)) for s in spans]))
+
+
 # --- parabolic stop and reverse -----------------------------------------------------------------
 
 STOP_STATE = 4  # side (1 rising, -1 falling), acceleration, extreme price of the present side, stop
@@ -96,7 +102,29 @@ def stop_walk(high, low, step, cap, at=0, state=None):
 
 
 def parabolic_stop(df: DataFrame, step: float = 0.02, cap: float = 0.2, warmup: int = 512) -> DataFrame:
-    """Add psar and psar_flip_flag, equal to one sequential pass over each group.
+    """Add psar and psar_flip_flag, equal to one sequential pass over each group."""
+    ck, walked = _walked(df, step, cap, warmup)
+    prev = F.lag("psar").over(ck.w)
+    down = (prev > F.col("high")) & (F.col("psar") <= F.col("low"))
+    up = (prev < F.col("low")) & (F.col("psar") >= F.col("high"))
+    return ck.owned(walked.withColumn("psar_flip_flag", F.coalesce((down | up).cast("int"), F.lit(0))))
+
+
+def stop_ends(df: DataFrame, step: float = 0.02, cap: float = 0.2, warmup: int = 512) -> DataFrame:
+    """(keys, last, v): the time of each group's last bar, and the state after it followed by the last two highs and lows."""
+    ck, walked = _walked(df, step, cap, warmup)
+    before = lambda c: F.lag(c).over(ck.w)
+    pairs = lambda c: F.filter(F.array(F.col(f"_before_{c}"), F.col(c)), lambda x: x.isNotNull())
+    rows = walked.withColumns({"_before_high": before("high"), "_before_low": before("low")}).filter("_own")
+    state = F.concat("_exit", pairs("high"), pairs("low"))
+    order = F.col(ck.order)
+    known = [c for c in rows.columns if c.startswith("_unknown_")]
+    ends = rows.groupBy(*ck.keys, *known).agg(F.max(order).alias("last"), F.max_by(state, order).alias("v"))
+    return restored_keys(ends).select(*ck.keys, "last", "v")
+
+
+def _walked(df: DataFrame, step: float, cap: float, warmup: int) -> tuple[Chunked, DataFrame]:
+    """The chunks and their rows with psar, and with the states in which the chunk was entered and left.
 
     Every chunk is walked in parallel from a state guessed by warming up on its halo, and reports
     the state it entered its own rows with and the state it left. A chunk is right when its entry
@@ -143,7 +171,4 @@ def parabolic_stop(df: DataFrame, step: float = 0.02, cap: float = 0.2, warmup:
             redo = walked.drop("psar", "_entry", "_exit").join(wrong, ck.chunk_keys)
             redone = redo.groupBy(*ck.chunk_keys).applyInPandas(walk, schema)
             walked = checkpointed(walked.join(wrong, ck.chunk_keys, "left_anti").unionByName(redone))
-    prev = F.lag("psar").over(ck.w)
-    down = (prev > F.col("high")) & (F.col("psar") <= F.col("low"))
-    up = (prev < F.col("low")) & (F.col("psar") >= F.col("high"))
-    return ck.owned(walked.withColumn("psar_flip_flag", F.coalesce((down | up).cast("int"), F.lit(0))))
+    return ck, walked

@@ -27,19 +27,19 @@ SMALL = 1e12
 COUNT, UNIT, EXACT = "decimal(10,0)", "decimal(27,26)", "decimal(38,26)"
 
 
-def _packed(df: DataFrame, by: Sequence[str]) -> Column:
+def packed(df: DataFrame, by: Sequence[str]) -> Column:
     return F.struct(*[c for c in df.columns if c not in by]).alias("_point")
 
 
-def _matched(right: DataFrame, left: DataFrame, by: Sequence[str], strict: bool, name: str) -> DataFrame:
-    """Left rows (keys, _at, _point) with `_hit` of the last right row (keys, _at, _tie, _hit) at or below `_at`, or strictly below it."""
-    sided = lambda d, n: d.withColumn("_side", F.lit(n))
-    rows = sided(right, int(strict)).unionByName(sided(left.withColumn("_tie", F.lit(0).cast("long")), int(not strict)), allowMissingColumns=True)
-    met = last_known(rows, by, ["_at", "_side", "_tie"], {"_hit": F.col("_hit")}, name)
+def matched(right: DataFrame, left: DataFrame, by: Sequence[str], strict: bool | Column, name: str) -> DataFrame:
+    """Left rows (keys, _at, _point) with `_hit` of the last right row (keys, _at, _tie, _hit) at or below `_at`; where strict, below it."""
+    side = F.when(strict if isinstance(strict, Column) else F.lit(strict), 0).otherwise(2)
+    asked = left.withColumns({"_tie": F.lit(0).cast("long"), "_side": side})
+    met = last_known(right.withColumn("_side", F.lit(1)).unionByName(asked, allowMissingColumns=True), by, ["_at", "_side", "_tie"], {"_hit": F.col("_hit")}, name)
     return met.where(F.col("_point").isNotNull()).select(*by, "_at", "_point.*", "_hit")
 
 
-def _windows(points: DataFrame, by: Sequence[str]) -> DataFrame:
+def windows(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct values _v with the ranks [_first, _end) of one of its rows and the k nearest, and the distance _d of the farthest.
 
     Of two rows at one distance the one of smaller value counts as nearer.
@@ -53,9 +53,9 @@ def _windows(points: DataFrame, by: Sequence[str]) -> DataFrame:
     starts = staged(starts.select(*by, "_l", (F.col("_x") + F.col("_y")).alias("_at"), F.struct("_l", "_x", "_y").alias("_hit")), "starts")
     rising = starts.select(*by, "_at", F.col("_l").alias("_tie"), "_hit")
     falling = starts.select(*by, (-F.col("_at")).alias("_at"), (-F.col("_l")).alias("_tie"), "_hit")
-    met = _matched(rising, points.select(*by, (F.col("_v") * 2).alias("_at"), _packed(points, by)), by, True, "windows-below")
+    met = matched(rising, points.select(*by, (F.col("_v") * 2).alias("_at"), packed(points, by)), by, True, "windows-below")
     met = met.withColumnRenamed("_hit", "_before").drop("_at")
-    met = _matched(falling, met.select(*by, (F.col("_v") * -2).alias("_at"), _packed(met, by)), by, False, "windows-above")
+    met = matched(falling, met.select(*by, (F.col("_v") * -2).alias("_at"), packed(met, by)), by, False, "windows-above")
     # the last window that lies low starts one rank before the first that does not; without such a one it is the last of all
     last = F.coalesce(F.col("_hit._l") - 1, F.col("total") - 1 - F.col("k"))
     gap_low, gap_high = F.col("_v") - F.col("_before._x"), F.col("_hit._y") - F.col("_v")
@@ -81,7 +81,7 @@ def _totals_at(points: DataFrame, by: Sequence[str], rank: str, out: Mapping[str
     edge = (F.col(rank) <= 0) | (F.col(rank) >= F.col("total"))
     runs = points.select(*by, F.col("before").alias("_at"), F.lit(0).cast("long").alias("_tie"), F.struct("before", *out, *[f"_sum{v}" for v in out]).alias("_hit"))
     inner = points.where(~edge)
-    met = _matched(runs, inner.select(*by, F.col(rank).alias("_at"), _packed(inner, by)), by, False, f"totals{rank}")
+    met = matched(runs, inner.select(*by, F.col(rank).alias("_at"), packed(inner, by)), by, False, f"totals{rank}")
     inside = {o: (F.col(f"_hit._sum{v}") + ((F.col("_at") - F.col("_hit.before")).cast(COUNT) * F.col(f"_hit.{v}")).cast(EXACT)).cast(EXACT) for v, o in out.items()}
     outside = {o: F.when(F.col(rank) <= 0, F.lit(0)).otherwise(F.col(f"_all{v}")).cast(EXACT) for v, o in out.items()}
     return staged(met.withColumns(inside).drop("_hit", "_at").unionByName(points.where(edge).withColumns(outside)), f"totals{rank}")
@@ -99,14 +99,14 @@ def factors(df: DataFrame, keys: Sequence[str], value: str, least: Column, share
     largest = ranked.groupBy(*by).agg(F.pow(F.lit(2.0), -F.ceil(F.log2(F.greatest(F.max(F.abs(value)), F.lit(1e-290)))) - 1).alias("_scale"))
     points = ranked.join(largest, by).withColumns({"k": k, "_v": F.col(value).cast("double") * F.col("_scale")})
     points = staged(points.select(*by, "n", "before", "total", "k", "_scale", "_v"), "points")
-    points = staged(_windows(points, by).withColumns({"_x": F.col("_v").cast(UNIT), "_k": F.col("_d").cast(UNIT)}), "windows")
+    points = staged(windows(points, by).withColumns({"_x": F.col("_v").cast(UNIT), "_k": F.col("_d").cast(UNIT)}), "windows")
     points = _with_totals(points, by, ["_x", "_k"])
     # ranks before _c1 have neighbourhoods that end below the value, those from _c2 on ones that begin above it
     after = (F.col("before") + F.col("n")).alias("_hit")
     ends = points.select(*by, (F.col("_v") + F.col("_d")).alias("_at"), F.col("before").alias("_tie"), after)
     begins = points.select(*by, (F.col("_v") - F.col("_d")).alias("_at"), F.col("before").alias("_tie"), after)
-    near = _matched(ends, points.select(*by, F.col("_v").alias("_at"), _packed(points, by)), by, True, "ends").withColumnRenamed("_hit", "_c1").drop("_at")
-    far = _matched(begins, near.select(*by, F.col("_v").alias("_at"), _packed(near, by)), by, False, "begins").withColumnRenamed("_hit", "_c2").drop("_at")
+    near = matched(ends, points.select(*by, F.col("_v").alias("_at"), packed(points, by)), by, True, "ends").withColumnRenamed("_hit", "_c1").drop("_at")
+    far = matched(begins, near.select(*by, F.col("_v").alias("_at"), packed(near, by)), by, False, "begins").withColumnRenamed("_hit", "_c2").drop("_at")
     low, high = F.least(F.coalesce("_c1", F.lit(0)), F.col("before")), F.greatest(F.coalesce("_c2", F.lit(0)), F.col("before") + F.col("n"))
     rows = staged(far.withColumns({"_from": F.greatest("_first", low), "_to": F.least("_end", high)}).drop("_c1", "_c2"), "ranges")
     for rank, out in (("_first", {"_x": "_x0"}), ("_end", {"_x": "_x3"}), ("_from", {"_x": "_x1", "_k": "_k1"}), ("_to", {"_x": "_x2", "_k": "_k2"})):

@@ -10,6 +10,7 @@ from barloom.functions.nulls import nan_to_null
 from barloom.functions.symbols import canonical_symbol
 from barloom.functions.times import floor_step
 from barloom.schema import BAR_SCHEMA, PERIODS
+from barloom.sources.delimited import delimited_rows, field
 
 
 def ticks_to_bars(
@@ -55,40 +56,16 @@ def ticks_to_bars(
 
 
 def read_bars_csv(spark: SparkSession, root: str, period: str) -> DataFrame:
-    """All `<root>/<period>/<SYMBOL>_<period>_*.csv`, whatever column suffix each file carries.
+    """All `<root>/<period>/<SYMBOL>_<period>_*.csv` in one scan, whatever column suffix each file carries.
 
-    Columns may be called `close` or `close_<SYMBOL>_<period>`. The files are read as text columns by
-    header name, one reader per distinct header (found by listing headers, not by reading the data),
-    so that files with different spellings land in the same schema.
+    Columns may be called `close` or `close_<SYMBOL>_<period>`; the symbol comes from the file's name.
     """
-    headers = (
-        spark.read.text(f"{root}/{period}/*.csv", wholetext=False)
-        .withColumn("_path", F.input_file_name())
-        .filter(F.col("value").rlike(r"(?i)^\W*(timestamp|datetime|open|unnamed)"))
-        .select("value", F.regexp_extract("_path", r"([^/]+)\.csv$", 1).alias("file"))
-    )
-    names = {r["file"]: r["value"].lstrip("﻿").split(",") for r in headers.collect()}
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file, cols in names.items():
-        by_header.setdefault(tuple(cols), []).append(file)
-    parts = [_one_header(spark, root, period, list(cols), files) for cols, files in by_header.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _one_header(spark: SparkSession, root: str, period: str, cols: list[str], files: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{c or f'Unnamed_{i}'}` string" for i, c in enumerate(cols))
-    raw = spark.read.csv([f"{root}/{period}/{f}.csv" for f in files], header=True, schema=schema)
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    raw = raw.withColumn("_symbol", F.regexp_replace(stem, rf"_{period}(?:_.*)?$", ""))
-    rename = {}
-    for c in raw.columns:
-        for base in ("open", "high", "low", "close", "volume"):
-            if c.startswith(f"{base}_") and c.endswith(f"_{period}"):
-                rename[c] = base
-    return tolerant(raw.withColumnsRenamed(rename), F.col("_symbol"), period)
+    rows = delimited_rows(spark, f"{root}/{period}")
+    stem = F.regexp_extract("file", r"([^/]+)\.csv$", 1)
+    suffixed = lambda base: F.get(F.filter("header", lambda h: h.startswith(f"{base}_") & h.endswith(f"_{period}")), 0)
+    prices = [F.coalesce(field(c), field(suffixed(c))).alias(c) for c in ("open", "high", "low", "close", "volume")]
+    raw = rows.select(*[field(c).alias(c) for c in ("timestamp", "datetime")], *prices, F.regexp_replace(stem, rf"_{period}(?:_.*)?$", "").alias("_symbol"))
+    return tolerant(raw, F.col("_symbol"), period)
 
 
 def tolerant(raw: DataFrame, symbol: Column, period: str) -> DataFrame:

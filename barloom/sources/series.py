@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.nulls import nan_to_null
-from barloom.functions.times import with_epoch_ms
-from barloom.operators.joins import assemble_series
+from barloom.sources.delimited import delimited_rows
 
 
 @dataclass(frozen=True)
@@ -150,56 +148,61 @@ def switched_on(registry: Mapping[str, Series], include: Mapping[str, bool] | No
     return [k for k in registry if include.get(k, missing_is_on)]
 
 
-def read_series(spark: SparkSession, root: str, key: str, spec: Series, path: str | None = None) -> DataFrame | None:
-    """(timestamp ms, columns…) of one file, or None when there is no such file."""
-    if not spec.path:
-        return None
-    try:
-        raw = spark.read.csv(f"{root}/{path or spec.path}", header=True)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    if "timestamp" not in raw.columns:
-        if "time" in raw.columns:
-            raw = raw.withColumnRenamed("time", "timestamp")
-        elif len(spec.positional) == len(raw.columns):
-            raw = raw.toDF(*spec.positional)
-        else:
-            return None
-    names = spec.columns(raw.columns)
+def _named(key: str, spec: Series, header: Sequence[str]) -> tuple[int | None, dict[int, str]]:
+    """Of one header: the place of the time column, and the places of the columns taken and their output names."""
+    names = list(spec.positional) if not {"timestamp", "time"} & set(header) and len(spec.positional) == len(header) else list(header)
+    time = next((names.index(t) for t in ("timestamp", "time") if t in names), None)
+    taken = spec.columns(names)
     if key == "exch_netflow":
-        names = {c: "exch_netflow" for c in list(names)[:1]}
+        taken = {c: "exch_netflow" for c in list(taken)[:1]}
     if spec.prefix and not spec.every:
-        names = {c: f"{spec.prefix}{c}" for c in names}
+        taken = {c: f"{spec.prefix}{c}" for c in taken}
     if key == "oi_total":
-        names = dict(list(names.items())[:1])
-    if not names:
+        taken = dict(list(taken.items())[:1])
+    return time, {names.index(c): n for c, n in taken.items()}
+
+
+def _read(spark: SparkSession, root: str, registry: Mapping[str, Series], chosen: Sequence[str], paths: Sequence[tuple[str, str, str | None]], keys: Sequence[str]) -> DataFrame | None:
+    """Series (key, path, symbol) below the root as one table on `keys`, from one scan; None if no file gives a column.
+
+    The scan's distinct headers, a few for each series, tell the columns; files that are not there are left out.
+    """
+    paths = [(k, p, s, chosen.index(k)) for k, p, s in paths if p]
+    if not paths:
+        return None
+    places = spark.createDataFrame(paths, "key string, file string, symbol string, _at int")
+    rows = delimited_rows(spark, root, F.col("file").isin(*sorted({p for _, p, _, _ in paths}))).join(places, "file")
+    known = sorted((chosen.index(r.key), tuple(r.header)) for r in rows.select("key", "header").distinct().collect())
+    values: dict[str, list] = {}
+    time = F.lit(None).cast("string")
+    for at, header in known:
+        when, taken = _named(chosen[at], registry[chosen[at]], header)
+        if when is None:
+            continue
+        here = (F.col("_at") == at) & (F.col("header") == F.array(*[F.lit(h) for h in header]))
+        time = F.when(here, F.get("fields", F.lit(when))).otherwise(time)
+        for place, name in taken.items():
+            values.setdefault(name, []).append(F.when(here, F.get("fields", F.lit(place)).try_cast("double")))
+    if not values:
         return None
-    ts = raw.withColumn("timestamp", F.col("timestamp").try_cast("double").try_cast("long"))
-    values = [F.col(c).try_cast("double").alias(n) for c, n in names.items()]
-    return nan_to_null(with_epoch_ms(ts, "timestamp").select("timestamp", *values))
+    wide = rows.select("file", "symbol", "_at", time.try_cast("double").try_cast("long").alias("timestamp"), *[F.coalesce(*v).alias(n) for n, v in values.items()])
+    short = F.length(F.abs("timestamp").cast("string")) <= 10  # a file whose middle time is that short holds seconds
+    units = wide.groupBy("file").agg((F.count_if(short) * 2 > F.count("timestamp")).alias("seconds"))
+    stamp = F.when(F.col("seconds"), F.col("timestamp") * 1000).otherwise(F.col("timestamp"))
+    wide = nan_to_null(wide.join(units, "file").withColumn("timestamp", stamp))
+    pick = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("_at", c))).alias(c)
+    return wide.groupBy(*keys).agg(*[pick(n) for n in values])
 
 
 def read_global_series(spark: SparkSession, root: str, include: Mapping[str, bool] | None = None) -> DataFrame | None:
-    found = [read_series(spark, root, k, GLOBAL_SERIES[k]) for k in switched_on(GLOBAL_SERIES, include, False)]
-    found = [f for f in found if f is not None]
-    return assemble_series(found, ["timestamp"]) if found else None
+    chosen = switched_on(GLOBAL_SERIES, include, False)
+    return _read(spark, root, GLOBAL_SERIES, chosen, [(k, GLOBAL_SERIES[k].path, None) for k in chosen], ["timestamp"])
 
 
 def read_symbol_series(spark: SparkSession, root: str, symbols: Sequence[str], include: Mapping[str, bool] | None = None) -> DataFrame | None:
-    """All symbols' series stacked by key, then merged on (timestamp, symbol)."""
-    stacked = []
-    for key in switched_on(SYMBOL_SERIES, include, True):
-        spec, parts = SYMBOL_SERIES[key], []
-        for symbol in symbols:
-            base, quote = symbol.split("_", 1)
-            one = read_series(spark, root, key, spec, spec.path.format(coin=base, pair=base + quote, symbol=symbol))
-            if one is not None:
-                parts.append(one.withColumn("symbol", F.lit(symbol)))
-        for extra in parts[1:]:
-            parts[0] = parts[0].unionByName(extra, allowMissingColumns=True)
-        stacked += parts[:1]
-    return assemble_series(stacked, ["timestamp", "symbol"]) if stacked else None
-
-
+    """All symbols' series on (timestamp, symbol)."""
+    chosen, paths = switched_on(SYMBOL_SERIES, include, True), []
+    for symbol in symbols:
+        base, quote = symbol.split("_", 1)
+        paths += [(k, SYMBOL_SERIES[k].path.format(coin=base, pair=base + quote, symbol=symbol), symbol) for k in chosen]
+    return _read(spark, root, SYMBOL_SERIES, chosen, paths, ["timestamp", "symbol"])

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from barloom.operators.kernels import STOP_STATE, stop_walk
+from barloom.operators.kernels import STOP_STATE, averages, stop_ends, stop_walk
 from barloom.schema import KEYS, PERIODS, TIME
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,6 +49,11 @@ class _Keyed(StatefulProcessor):
         self.state = handle.getValueState("state", self.schema)
         self.pending = handle.getListState("pending", self.waiting)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Goes on from history: the last bar's time and the values after it."""
+        for last, values in initialState[["last", "v"]].itertuples(index=False):
+            self.state.update((int(last), [float(v) for v in values]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         if self.state.exists():
@@ -89,6 +94,11 @@ class EmaState(_Keyed):
         self.spans = tuple(spans)
         self.outputs = [f"ema_{s}" for s in self.spans]
 
+    def history(self, bars: DataFrame) -> DataFrame:
+        """(keys, last, v) after the bars of a batch table, for `stateful`."""
+        last = F.max_by(F.array(*self.outputs), TIME)
+        return averages(bars, self.spans).groupBy(*KEYS).agg(F.max(TIME).alias("last"), last.alias("v"))
+
     def advance(self, batch, values):
         out = batch[[TIME]].copy()
         ends = []
@@ -110,6 +120,10 @@ class StopState(_Keyed):
     def __init__(self, step: float = 0.02, cap: float = 0.2):
         self.step, self.cap = step, cap
 
+    def history(self, bars: DataFrame) -> DataFrame:
+        """(keys, last, v) after the bars of a batch table, for `stateful`."""
+        return stop_ends(bars, self.step, self.cap)
+
     def advance(self, batch, values):
         high, low = batch["high"].tolist(), batch["low"].tolist()
         if values is None:
@@ -125,16 +139,19 @@ class StopState(_Keyed):
         return out, [*states[-1], *high[-2:], *low[-2:]]
 
 
-def stateful(bars: DataFrame, processor: _Keyed, late: str = "2 days") -> DataFrame:
+def stateful(bars: DataFrame, processor: _Keyed, late: str = "2 days", history: DataFrame | None = None) -> DataFrame:
     """Apply a keyed processor to a bar stream. Needs the RocksDB state store (`STATE_CONF`).
 
     A bar may come late by `late` after the latest one of all keys, in any order; it is emitted when the watermark has passed it.
+    With `history`, the processor's own over a batch table, the stream goes on where the batch ended: arrivals up to a key's last
+    bar of the batch do not count, later ones give what one pass over both would. It is read when the stream first starts.
     """
     fields = [T.StructField(k, T.StringType()) for k in KEYS]
     fields += [T.StructField(TIME, T.LongType())] + [T.StructField(o, T.DoubleType()) for o in processor.outputs]
     return bars.withWatermark("datetime", late).select(*KEYS, TIME, "datetime", "high", "low", "close").groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime"
-    )
+        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime",
+        initialState=None if history is None else history.groupBy(*KEYS),
+    )
 
 
 def run_available(stream: DataFrame, path: str) -> DataFrame:

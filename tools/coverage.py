@@ -8,16 +8,18 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 from barloom.catalog import ORACLE, QUERIES
 
 ROWS = """
-A1 A2 A3 | sources/bars.py read_bars_csv, tolerant, symbols_in | restricted_symbols test:test_bar_files_with_any_header
-A4 A5 A6 | sources/series.py | test:test_series_registry
-A7 A21 | sources/files.py read_predictions, read_evidence | test:test_predictions_and_evidence_by_path
-A8 | sources/files.py new_bars, append_bars | resumed_bars
+A1 A2 | sources/delimited.py, sources/bars.py read_bars_csv, tolerant | scanned_bar_files
+A3 | sources/bars.py symbols_in | restricted_symbols
+A4 A5 A6 | sources/delimited.py, sources/series.py | scanned_series
+A7 A21 | sources/files.py read_predictions, read_evidence | collected_prediction_files collected_evidence_files
+A8 | sources/files.py new_bars, append_bars | resumed_bars appended_bar_table
 A9 | sources/payloads.py normalise_payload | normalised_payload
 A10 | sources/payloads.py flatten_margins | margin_payloads
 A11 | sources/payloads.py zip_parallel | parallel_array_payloads
 A12 | sources/payloads.py name_bands | positional_bands
 A13 G9 | sources/payloads.py daily_last, operators/splits.py keep_last | daily_last_by_date_text last_row_per_key
-A14 A15 | sources/files.py write_long_table, csv_to_parquet | period_partition_roundtrip test:test_stored_tables
+A14 | sources/files.py write_long_table | period_partition_roundtrip
+A15 | sources/files.py csv_to_parquet | converted_csv_table
 A16 A17 A18 | sources/files.py slim, write_csv, write_names, read_names | name_list_roundtrip test:test_stored_tables
 A19 | operators/audits.py series_time_ranges | series_time_ranges
 A20 | plans/fuse_experts.py expert_views | expert_views
@@ -26,7 +28,8 @@ B2 B3 B4 | functions/times.py robust_timestamp, time_literal_ms | time_literals
 B5 | functions/times.py floor_step | floored_steps
 B6 | functions/times.py period_ms | period_lengths
 B7 | functions/symbols.py | canonical_symbols
-B8 B19 B20 B22 | columns.py | test:test_name_rules family_dedup
+B8 B19 B20 | columns.py normalise_name, match_normalised, foreign_window_columns | normalised_column_names
+B22 | columns.py family_key | family_dedup
 B9 B11 B12 | functions/nulls.py | null_guards
 B10 | operators/market.py regime_core | regime_core
 B13 | functions/nulls.py narrow_for_sink | test:test_stored_tables
@@ -108,7 +111,7 @@ E62 E63 | operators/norms.py lagged_standardise, operators/market.py taker_imbal
 E64 | operators/market.py open_interest_features | open_interest_features
 E65 | operators/market.py regime_core | regime_core
 E66 | operators/norms.py trim_warm_up | warm_up_trim
-E67 | – | not built (off by default in the original)
+E67 | operators/outliers.py local_outliers (each column by itself; the joint score over all columns is not built) | local_outlier_factors
 E68 | operators/rows.py fill_gaps, fill_counts | gap_filling gap_filling_counts
 F1–F18 F20 F21 F22 | operators/labels.py with_labels | labels labels_forward_windows
 F19 | operators/labels.py fund_flow_strength | fund_flow_strength
@@ -171,7 +174,7 @@ K17 K19 | operators/metrics.py class_weights, named_weights | class_balance_weig
 K18 | operators/metrics.py gated_blend | gated_blend
 L1 | streaming/bars.py stream_bars | streamed_hourly_bars
 L2 | streaming/bars.py once_per_bar | streamed_bars_once
-L3 L4 | streaming/bars.py stateful | streamed_ema streamed_parabolic_stop
+L3 L4 | streaming/bars.py stateful | streamed_ema streamed_parabolic_stop continued_ema continued_parabolic_stop
 """
 
 
