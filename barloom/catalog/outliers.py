@@ -46,7 +46,8 @@ density AS (
   FROM near n JOIN density o ON o.symbol = n.symbol AND o.period = n.period AND o.feature = n.feature AND o.r = n.other
   JOIN density a ON a.symbol = n.symbol AND a.period = n.period AND a.feature = n.feature AND a.r = n.r GROUP BY ALL
 ), flagged AS (
-  SELECT p.symbol, p.period, p.timestamp, p.feature, lof, CAST(lof < quantile_cont(lof, 0.01) OVER (PARTITION BY p.symbol, p.period, p.feature) AS INTEGER) AS flag
+  SELECT p.symbol, p.period, p.timestamp, p.feature, lof, -- rounded, because sums in another order give the scores of equal values unequal last digits
+    CAST(round(lof, 9) < quantile_cont(round(lof, 9), 0.01) OVER (PARTITION BY p.symbol, p.period, p.feature) AS INTEGER) AS flag
   FROM points p JOIN scored s ON s.symbol = p.symbol AND s.period = p.period AND s.feature = p.feature AND s.r = p.r
 ), wide AS (
   SELECT g.symbol, g.period, g.timestamp, max(lof) FILTER (WHERE feature = 'price') AS lof_score_price, max(flag) FILTER (WHERE feature = 'price') AS is_outlier_price,
