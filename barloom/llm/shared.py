@@ -36,7 +36,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete what `staged` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df.staged_at)
 
 
 def share_file(spark: SparkSession, image: bytes, kind: str) -> str:
