@@ -32,9 +32,9 @@ def word_count(text: Column) -> Column:
 
 
 def numbered(sizes: DataFrame) -> DataFrame:
-    """Rows (source, size, …) in order of source, size and the other columns, each with a place that grows along it.
+    """Rows (known, source, size, mark, doc_id) in this order, each with a place that grows along it.
 
-    The sort is over ranges, so a source or a class of equal sizes may span tasks. A null source is the text of no source.
+    The sort is over ranges, so a source or a class of equal sizes may span tasks. It reads its input twice.
     """
     order = [F.col("known").desc(), F.col("source"), F.col("size"), F.col("mark"), F.col("doc_id")]
     return staged(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "numbered")
@@ -142,7 +142,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     key = ["known", "source"]
     source = F.col("source").cast("string")
     sizes = docs.select("doc_id", source.isNotNull().alias("known"), F.coalesce(source, F.lit("")).alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark"))
-    rows = numbered(sizes).withColumn("block", F.shiftright("place", BLOCK_BITS))
+    rows = numbered(staged(sizes, "sizes")).withColumn("block", F.shiftright("place", BLOCK_BITS))
     pieces = staged(rows.groupBy(*key, "size", "block").agg(F.count("*").alias("many"), F.min("place").alias("first")), "pieces")
     classes = staged(pieces.groupBy(*key, "size").agg(F.sum("many").alias("n")), "classes")
     sums = classes.groupBy(*key).agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
