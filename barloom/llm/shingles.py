@@ -1,8 +1,9 @@
 """Near duplicates by their sets of word shingles: similarity (Jaccard) of at least LEAST, every link checked on the whole sets.
 
-Candidates share a bucket: the ROWS min-hashes of one of BANDS bands. A pair of similarity 0.8 is missed with a chance of
-(1 - 0.8^5)^20 = 4e-4, one of 0.85 with 8e-6. First every text meets the centre of its buckets alone, which is linear and joins most groups.
-Then, in buckets whose members are still apart, cells of at most CELL by CELL members are compared on the whole sets inside
+First come the links of `barloom.llm.simhash` between the texts' fingerprints, each checked on the whole sets. What SimHash's radius
+does not reach is met by min-hash buckets: candidates share the ROWS min-hashes of one of BANDS bands, so a pair of similarity 0.8 is missed
+with a chance of (1 - 0.8^5)^20 = 4e-4, one of 0.85 with 8e-6. Of buckets whose members are still apart every text meets the centre alone,
+which is linear and joins most groups. Then, in buckets whose members are still apart, cells of at most CELL by CELL members are compared on the whole sets inside
 a task, each pair in the first band that it shares. Only a spanning forest of the links leaves a cell, so nothing lists
 pairs. Texts travel once for each meeting with centres, and once for each cell in which they have a candidate.
 """
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import simhash
 from barloom.llm.components import components
 from barloom.llm.shared import drop_staged, schema, staged
 from barloom.llm.simhash import forest
@@ -70,19 +72,21 @@ def least_values(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """Rows (name, text) to (name, keys, sketch): a bucket key per band, and a byte per min-hash."""
+    """Rows (name, text) to (name, fp, keys, sketch): the SimHash, a bucket key per band, and a byte per min-hash."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sketches = [], []
-            for text in batch.column(1):
-                least = _mixed(least_values(shingle_set(text.as_py())))
+            prints, keys, sketches = [], [], []
+            for text in batch.column(1).to_pylist():
+                prints.append(simhash.fingerprint(text, SHINGLE))
+                least = _mixed(least_values(shingle_set(text)))
                 with np.errstate(over="ignore"):
                     keys.append(_mixed((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)).view(np.int64))
                 sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["name", "keys", "sketch"])
+            columns = [batch.column(0), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "fp", "keys", "sketch"])
 
-    return texts.select("name", "text").mapInArrow(of, schema(name="binary", keys="array<bigint>", sketch="binary"))
+    return texts.select("name", "text").mapInArrow(of, schema(name="binary", fp="bigint", keys="array<bigint>", sketch="binary"))
 
 
 def alike(left: np.ndarray, right: np.ndarray) -> bool:
@@ -242,6 +246,29 @@ def _wanted(texts: DataFrame, sketches: DataFrame, nodes: DataFrame, name: str)
     return staged(texts.join(named, "name").groupBy("node").agg(F.first("text").alias("text")), name)
 
 
+def _whole_links(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, name: str) -> DataFrame:
+    """The placed pairs whose whole sets are alike."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = _wanted(texts, sketches, nodes, f"{name}-texts")
+    links = staged(_confirmed(pairs, wanted), f"{name}-links")
+    drop_staged(wanted)
+    return links
+
+
+def fingerprint_links(texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes by SimHash, checked on the whole sets: equal fingerprints meet their first node, near ones' first nodes meet."""
+    prints = sketches.select("fp", "node")
+    first = staged(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("members")), "prints")
+    equal = prints.join(first.where("members > 1"), "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(first.select("fp"))
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"at_{c}")) for c in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.greatest("at_a", "at_b").alias("a"), F.least("at_a", "at_b").alias("b"))
+    pairs = _placed(equal.unionByName(near).distinct(), "print-pairs")
+    links = _whole_links(pairs, texts, sketches, "print")
+    drop_staged(pairs, first)
+    return links
+
+
 def near_duplicates(texts: DataFrame) -> DataFrame:
     """Rows (name, text), name a binary that is equal for equal texts alone, to (name, component) for the texts that have a near duplicate.
 
@@ -250,17 +277,21 @@ def near_duplicates(texts: DataFrame) -> DataFrame:
     """
     once = _sketches(texts).dropDuplicates(["name"])
     sketches = staged(once.withColumn("node", F.monotonically_increasing_id()), "sketches")
-    rows = sketches.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1").select("key", "centre")
-    members = staged(rows.join(buckets, "key"), "members")
-    pairs = _placed(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "star-pairs")
+    printed = fingerprint_links(texts, sketches)
+    known = staged(components(printed), "print-components")
+    rows = sketches.select("node", "keys").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("keys").alias("band", "key"))
+    apart = [F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("node", "component")).alias("centre")]
+    buckets = rows.groupBy("key").agg(*apart).where("low <> high").select("key", "centre")
+    members = staged(rows.join(buckets, "key").select("key", "band", "node", "component", "centre"), "members")
+    met = members.where("component <> centre.component").select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
+    pairs = _placed(met.distinct(), "star-pairs")
     near = _placed(_promising(pairs, sketches), "near-pairs")
-    drop_staged(pairs)
-    wanted = _wanted(texts, sketches, near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "star-texts")
-    links = staged(_confirmed(near, wanted), "star-links")
-    drop_staged(wanted, near)
+    drop_staged(pairs, known)
+    starred = _whole_links(near, texts, sketches, "star")
+    drop_staged(near)
+    links = printed.unionByName(starred)
     known = staged(components(links), "star-components")
-    placed = members.join(known, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.select("key", "band", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = staged(_candidates(placed, sketches), "cells")
     drop_staged(members, known)
     wanted = _wanted(texts, sketches, cells.select("node").distinct(), "cell-texts")
@@ -268,5 +299,5 @@ def near_duplicates(texts: DataFrame) -> DataFrame:
     drop_staged(cells, wanted)
     found = staged(components(links.unionByName(more)), "components")
     named = staged(found.join(sketches.select("node", "name"), "node").select("name", "component"), "named")
-    drop_staged(links, more, found, sketches)
+    drop_staged(printed, starred, more, found, sketches)
     return named

@@ -33,7 +33,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of smallest doc_id; of its rows with equal doc_id, the first by text.
 
-    Near duplicates share four fifths of their sets of five-word shingles. A row goes only because of a row of its own group.
+    Near duplicates share four fifths of their sets of five-word shingles; SimHash finds them, and min-hash buckets those beyond its
+    radius. A row goes only because of a row of its own group.
     Rows without a doc_id stay: no group can name them.
     """
     told = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))

@@ -7,6 +7,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.llm import shingles, simhash
 from barloom.llm.shared import table
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,30 @@ def test_chain_of_a_large_group(spark):
 def test_a_row_goes_only_because_of_its_own_group(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
     assert kept(spark, [(3, a), (5, a + " more"), (5, b)]) == [(3, a), (5, b)]
+
+
+def test_simhash_links_alone_join_near_copies(spark, monkeypatch):
+    """With no min-hash bucket left, SimHash still joins equal and near fingerprints, and the whole sets keep apart what is not alike."""
+    rnd, asked = random.Random(7), []
+    links, sketched = simhash.links, shingles._sketches
+
+    def lonely(texts):
+        return sketched(texts).withColumn("keys", F.array(F.xxhash64("name")))
+
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: asked.append(1) or links(*a, **k))
+    monkeypatch.setattr(shingles, "_sketches", lonely)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(2000)]
+    far = [f"w{rnd.randrange(10**6)}" for _ in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(["x", *base[1:]])), (4, " ".join(far)), (5, " ".join(far).upper())]
+    assert {i for i, _ in kept(spark, rows)} == {1, 4}
+    assert asked
+
+
+def test_links_of_equal_fingerprints_are_checked_on_whole_sets(spark):
+    """Texts of one fingerprint, two alike and one not: only the alike ones are linked."""
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(b"a", base), (b"b", base + " more"), (b"c", "quite another text of a few words")]
+    texts = spark.createDataFrame(rows, "name binary, text string")
+    nodes = shingles._sketches(texts).withColumns({"fp": F.lit(5).cast("long"), "node": F.when(F.col("name") == b"a", 0).when(F.col("name") == b"b", 1).otherwise(2).cast("long")})
+    found = shingles.fingerprint_links(texts, shingles.staged(nodes, "nodes"))
+    assert [tuple(r) for r in found.collect()] == [(1, 0)]
