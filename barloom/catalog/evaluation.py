@@ -107,11 +107,12 @@ CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp
 SELECT symbol, period, tp, fp, fn, tn, {settle_all('accuracy', 'precision', 'recall', 'f1', 'brier')} FROM d"""
 
 
-def value_rows(spark, sf) -> DataFrame:
-    """Bars as a forecast set: the previous return predicts the next, sigma is the rolling deviation."""
+def value_rows(spark, sf, daily: DataFrame | None = None) -> DataFrame:
+    """Bars as a forecast set: the previous return predicts the next, sigma is the rolling deviation. daily: the daily bars, if at hand."""
     from barloom.functions import frames as fr
 
-    ck = halo_chunks(bars(spark, sf, "1d").select(*KEY, "close"), back=22, ahead=1)
+    daily = bars(spark, sf, "1d") if daily is None else daily
+    ck = halo_chunks(daily.select(*KEY, "close"), back=22, ahead=1)
     w = ck.w
     df = ck.df.withColumn("_pc", F.lag("close").over(w)).withColumn("_nc", F.lead("close").over(w))
     df = df.withColumn("pred", F.ln(F.col("close") / F.col("_pc"))).withColumn("y", F.ln(F.col("_nc") / F.col("close")))
@@ -176,9 +177,9 @@ SELECT doc_id, label, {settle_all('weight', 'symbol_weight')} FROM x"""
 # --- predictions and stacking -------------------------------------------------------------------
 
 
-def labelled_bars(spark, sf) -> DataFrame:
-    """Daily bars with time_idx, a class label and the two lagged quantities the pseudo-experts see."""
-    b = splits.with_time_idx(bars(spark, sf, "1d")).drop("datetime")
+def labelled_bars(spark, sf, daily: DataFrame | None = None) -> DataFrame:
+    """Daily bars with time_idx, a class label and the two lagged quantities the pseudo-experts see. daily: the daily bars, if at hand."""
+    b = splits.with_time_idx(bars(spark, sf, "1d") if daily is None else daily).drop("datetime")
     ck = halo_chunks(b, back=2)
     pc, pc2 = F.lag("close").over(ck.w), F.lag("close", 2).over(ck.w)
     ph, pl = F.lag("high").over(ck.w), F.lag("low").over(ck.w)
@@ -241,8 +242,8 @@ close / lag(close, 72) OVER ({W}) - 1 AS momentum_slow, volume / lag(volume) OVE
 SELECT symbol, period, time_idx, target_up, {settle_all(*_STACK)} FROM pv JOIN rg USING (symbol, period, timestamp)"""
 
 
-def _parts(spark, sf):
-    df = labelled_bars(spark, sf)
+def _parts(spark, sf, daily: DataFrame | None = None):
+    df = labelled_bars(spark, sf, daily)
     p = predictions(df)
     wide = stacking.pivot_predictions(p, stacking.experts_and_targets(p))
     rows = staged(wide.join(df.select(*_ROW, "target_up"), _ROW), "stack")

@@ -96,9 +96,10 @@ def stack_model_report(spark, sf):
 @query
 def stack_regression_report(spark, sf):
     """Boosted-tree stack of the next return against the mean score."""
-    rows, feats = evaluation._parts(spark, sf)
-    ret = evaluation.value_rows(spark, sf).select("symbol", "timestamp", "y")
-    idx = splits.with_time_idx(bars(spark, sf, "1d")).select("symbol", "period", "time_idx", "timestamp")
+    daily = bars(spark, sf, "1d")  # built from the ticks once, for all three uses
+    rows, feats = evaluation._parts(spark, sf, daily)
+    ret = evaluation.value_rows(spark, sf, daily).select("symbol", "timestamp", "y")
+    idx = splits.with_time_idx(daily).select("symbol", "period", "time_idx", "timestamp")
     rows = staged(rows.join(idx, ["symbol", "period", "time_idx"]).join(ret, ["symbol", "timestamp"]), "stack_y")
     model = models.fit_stack(rows.filter("part = 'train'"), feats, "y", False)
     out = models.predict_stack(model, rows.filter("part = 'test'"), feats, False)
