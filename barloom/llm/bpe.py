@@ -36,6 +36,7 @@ COUNTED = 500_000  # distinct stretches a task counts before it hands on what it
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks that are neither letters, digits, white space nor an apostrophe
 LETTERS = [bytes([b]) for b in range(256)]
 STRETCH = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
@@ -222,12 +223,20 @@ class Codec:
             return tuple(self.vocabulary.exact(stretch))
         ids = self.older.get(stretch)
         if ids is None:
-            ids = tuple((self.lexicon.get(stretch.encode()) if self.lexicon else None) or self.vocabulary.exact(stretch))
+            ids = tuple((self.lexicon.get(stretch.encode()) if self.lexicon else None) or self._cut(stretch))
         if len(self.seen) >= CACHE:
             self.seen, self.older = {}, self.seen
         self.seen[stretch] = ids
         return ids
 
+    def _cut(self, stretch: str) -> tuple[int, ...] | list[int]:
+        """The ids of an unknown stretch; letters and the marks behind them are a pre-token each, which may be known."""
+        core = stretch.rstrip(MARKS)
+        if len(core) < len(stretch) and (core[1:].isalpha() and (core[0] == " " or core[0].isalpha()) or len(core) == 1 and core.isalpha()):
+            marks = stretch[len(core) :]
+            return (self.seen.get(core) or self._stretch(core)) + (self.seen.get(marks) or self._stretch(marks))
+        return self.vocabulary.exact(stretch)
+
     def encode(self, text: str) -> list[int]:
         special, ids = self.vocabulary.special, []
         for part in special.split(text) if special and any(s in text for s in self.vocabulary.specials) else (text,):

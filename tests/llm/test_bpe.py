@@ -56,3 +56,13 @@ def test_transducer_is_minimal_and_complete():
 
 def test_empty_table(spark):
     assert bpe.round_trip(id_and_text(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_marks_behind_a_known_word_are_not_merged_with_it_again(library):
+    """A word that is followed by marks takes the word's ids from memory; the ids are the library's."""
+    c = bpe.Codec(bpe.Vocabulary(bpe.vocabulary_path()))
+    merged, real = [], c.vocabulary.merged
+    c.vocabulary.merged = lambda p: merged.append(p) or real(p)
+    text = "extraordinary extraordinary, (extraordinary) extraordinary). extraordinary... é! a. ... x's. it's, 12, naïveté; a1. \n."
+    assert c.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert merged.count(b" extraordinary") == 1
