@@ -3,7 +3,9 @@
 A text is cut at special tokens and then into stretches of one leading space and no other white space, which no
 pre-token crosses. Stretches that are frequent in the corpus are compiled, on the driver and up to a stated number, into
 an automaton that shares prefixes and suffixes; weights on its transitions add up to a word's number, and the number
-leads to the ids. Tasks map the file into memory. All other stretches are cut into pre-tokens and merged exactly, by rank.
+leads to the ids. Tasks map the file into memory. All other stretches are cut into pre-tokens and merged exactly, by rank; those
+of one length merge side by side. Each distinct stretch of a slice of texts is looked up once; ids, their digits and their bytes
+are gathered for all its places together.
 """
 
 from __future__ import annotations
@@ -15,22 +17,24 @@ import mmap
 import os
 import re
 import struct
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import id_and_text, schema, share_file, staged, table
+from barloom.llm.stretches import cut, gathered, slices
 
 LEXICON = 1 << 16  # words compiled at most; all others are merged, so the bound changes no result
 HEAPED, NEVER = 100, 1 << 60  # bytes beyond which merges are kept in a heap; the rank of a pair that never merges
 CACHE, LONGEST = 400_000, 64  # stretches a worker remembers, and code points of the longest one
-COUNTED = 500_000  # distinct stretches a task counts before it hands on what it has
+ALIKE = 32  # pre-tokens of one length from which they merge side by side
 
 #: The pre-token pattern of the vocabulary file's kind, and Unicode's white space.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,11 +74,12 @@ class Vocabulary:
             self.bytes[i] = bytes(values[c] for c in token)
         for content, i in self.specials.items():
             self.bytes[i] = content.encode()
-        self.names = [str(i) for i in range(len(self.bytes))]
         self.merges: dict[tuple[int, int], int] = {}  # pair to rank and new id, as one number
         for rank, pair in enumerate(given["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((ids[a], ids[b]), rank << 24 | ids[a + b])
+        pairs = sorted((a << 32 | b, found) for (a, b), found in self.merges.items())
+        self.pairs, self.found = np.array([*pairs, (NEVER, NEVER)], np.int64).T.copy()  # the same in order; the last is no pair
         self.pretoken = regex.compile(PRETOKEN)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
@@ -94,6 +99,49 @@ class Vocabulary:
                 ranks[i] = merges.get((ids[i], ids[i + 1]), NEVER)
         return ids
 
+    def merged_all(self, pretokens: list[bytes]) -> list[bytes]:
+        """The ids of many pre-tokens, each as little-endian bytes."""
+        out, lengths = [b""] * len(pretokens), {}
+        for i, pretoken in enumerate(pretokens):
+            lengths.setdefault(len(pretoken), []).append(i)
+        for length, places in lengths.items():
+            if length > HEAPED or len(places) < ALIKE:
+                for i in places:
+                    ids = self.merged(pretokens[i])
+                    out[i] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                raw = np.frombuffer(b"".join([pretokens[i] for i in places]), np.uint8).reshape(-1, length)
+                self._merged_alike(np.array(self.first, np.int64)[raw], np.array(places), out)
+        return out
+
+    def _ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and new id of pairs, as one number."""
+        pair = a << 32 | b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.found[at], NEVER)
+
+    def _merged_alike(self, ids: np.ndarray, places: np.ndarray, out: list[bytes]) -> None:
+        """Merge a row for each pre-token; rows that still merge lose one id a round, so they stay equally long."""
+        ranks = self._ranked(ids[:, :-1], ids[:, 1:])
+        while len(ids):
+            n, length = ids.shape
+            at = ranks.argmin(axis=1) if length > 1 else np.zeros(n, np.int64)
+            best = ranks[np.arange(n), at] if length > 1 else np.full(n, NEVER)
+            done = best == NEVER
+            raw, step = ids[done].astype("<u4").tobytes(), 4 * length
+            for k, i in enumerate(places[done].tolist()):
+                out[i] = raw[k * step : (k + 1) * step]
+            going = ~done
+            ids, ranks, places, at, best = ids[going], ranks[going], places[going], at[going], best[going]
+            columns, rows = np.arange(length - 1), np.arange(len(ids))
+            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= at[:, None]), 1)
+            ids[rows, at] = best & 0xFFFFFF
+            r = rows[at > 0]
+            ranks[r, at[r] - 1] = self._ranked(ids[r, at[r] - 1], ids[r, at[r]])
+            r = rows[at < length - 2]
+            ranks[r, at[r]] = self._ranked(ids[r, at[r]], ids[r, at[r] + 1])
+
     def _heap_merged(self, pretoken: bytes) -> list[int]:
         """The same for a long pre-token, in time that hardly grows faster than its length."""
         ids = [self.first[b] for b in pretoken]
@@ -118,10 +166,17 @@ class Vocabulary:
                 heapq.heappush(heap, (found, h, ids[h], new))
         return [i for i in ids if i >= 0]
 
-    def exact(self, stretch: str) -> list[int]:
+    def parts(self, stretch: str) -> Sequence[str]:
+        """The pre-tokens of a stretch. Letters are a single one, and marks behind them another."""
         if stretch[1:].isalpha() and (stretch[0] == " " or stretch[0].isalpha()) or len(stretch) == 1:
-            return self.merged(stretch.encode())  # a single pre-token
-        return [i for part in self.pretoken.findall(stretch) for i in self.merged(part.encode())]
+            return (stretch,)
+        core = stretch.rstrip(MARKS)
+        if len(core) < len(stretch) and (core[1:].isalpha() and (core[0] == " " or core[0].isalpha()) or len(core) == 1 and core.isalpha()):
+            return core, stretch[len(core) :]
+        return self.pretoken.findall(stretch)
+
+    def exact(self, stretch: str) -> list[int]:
+        return [i for part in self.parts(stretch) for i in self.merged(part.encode())]
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -187,6 +242,10 @@ class Lexicon:
             at += n
         self.offsets, self.targets, self.weights, self.starts, self.ids = (p.cast("I") for p in parts[:5])
         self.labels, self.finals = bytes(parts[5]), parts[6]
+        offsets, self.target, self.weight = (np.frombuffer(p, "<u4").astype(np.int64) for p in parts[:3])
+        source = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        self.arcs = np.append(source << 8 | np.frombuffer(parts[5], np.uint8), NEVER)  # ascending, as labels of a state are
+        self.final = np.frombuffer(parts[6], bool)
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -204,6 +263,29 @@ class Lexicon:
             state = targets[arc]
         return total if self.finals[state] else -1
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The same for many words, which step through the states together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts, raw = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(words), np.uint8)
+        state, total = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        going, step, out = np.arange(len(words)), 0, np.full(len(words), -1, np.int64)
+        while len(going):
+            ended = going[sizes[going] == step]
+            final = ended[self.final[state[ended]]]
+            out[final] = total[final]
+            going = going[sizes[going] > step]
+            key = state[going] << 8 | raw[starts[going] + step]
+            arc = np.searchsorted(self.arcs, key)
+            known = self.arcs[arc] == key
+            going, arc, step = going[known], arc[known], step + 1
+            total[going] += self.weight[arc]
+            state[going] = self.target[arc]
+        return out
+
+    def image(self, n: int) -> bytes:
+        """The ids of the n-th word, as they are in the file."""
+        return self.ids[self.starts[n] : self.starts[n + 1]].tobytes()
+
     def get(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None."""
         n = self.number(word)
@@ -215,38 +297,65 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}  # what was remembered before the last change
-
-    def _stretch(self, stretch: str) -> tuple[int, ...]:
-        if len(stretch) > LONGEST:
-            return tuple(self.vocabulary.exact(stretch))
-        ids = self.older.get(stretch)
-        if ids is None:
-            ids = tuple((self.lexicon.get(stretch.encode()) if self.lexicon else None) or self._cut(stretch))
-        if len(self.seen) >= CACHE:
-            self.seen, self.older = {}, self.seen
-        self.seen[stretch] = ids
-        return ids
-
-    def _cut(self, stretch: str) -> tuple[int, ...] | list[int]:
-        """The ids of an unknown stretch; letters and the marks behind them are a pre-token each, which may be known."""
-        core = stretch.rstrip(MARKS)
-        if len(core) < len(stretch) and (core[1:].isalpha() and (core[0] == " " or core[0].isalpha()) or len(core) == 1 and core.isalpha()):
-            marks = stretch[len(core) :]
-            return (self.seen.get(core) or self._stretch(core)) + (self.seen.get(marks) or self._stretch(marks))
-        return self.vocabulary.exact(stretch)
+        self.specials = list(vocabulary.specials)
+        self.seen: dict[str, bytes] = {}  # ids of a stretch, as little-endian bytes
+        self.older: dict[str, bytes] = {}  # what was remembered before the last change
+        self.names = pa.array([f"{i}," for i in range(len(vocabulary.bytes))], pa.large_binary())
+        self.bytes = pa.array(vocabulary.bytes, pa.large_binary())
+
+    def stretches(self, words: list[str]) -> list[bytes]:
+        """The ids of stretches, or of texts with special tokens."""
+        found = list(map(self.seen.get, words))
+        if missing := {w: b"" for w, ids in zip(words, found, strict=True) if ids is None}:
+            self._learn(missing)
+            found = [missing[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found
+
+    def _learn(self, new: dict[str, bytes]) -> None:
+        """Find the ids of new stretches, and remember those of short ones and of their pre-tokens."""
+        seen, older, parts_of = self.seen, self.older, self.vocabulary.parts
+        new.update((w, older[w]) for w in new.keys() & older.keys())
+        rest = [w for w, ids in new.items() if not ids]
+        if held := [s for s in self.specials if s in "\n".join(rest)]:
+            new.update((w, np.array(self.encode(w), "<u4").tobytes()) for w in rest if any(s in w for s in held))
+            rest = [w for w in rest if not new[w]]
+        if self.lexicon:
+            numbers = self.lexicon.numbers([w.encode() for w in rest])
+            new.update((rest[i], self.lexicon.image(numbers[i])) for i in np.flatnonzero(numbers >= 0).tolist())
+            rest = [rest[i] for i in np.flatnonzero(numbers < 0).tolist()]
+        cuts, parts = [], {}  # parts: ids of pre-tokens that are not remembered
+        for word in rest:
+            cut_up = parts_of(word)
+            if len(cut_up) == 1:
+                parts[word] = b""
+            else:
+                cuts.append((word, cut_up))
+        parts.update((p, b"") for _, cut_up in cuts for p in cut_up if p not in seen and p not in older)
+        parts = dict(zip(parts, self.vocabulary.merged_all([p.encode() for p in parts]), strict=True))
+        new.update((w, parts[w]) for w in rest if w in parts)
+        new.update((w, b"".join([parts.get(p) or seen.get(p) or older[p] for p in cut_up])) for w, cut_up in cuts)
+        if len(seen) >= CACHE:
+            self.seen, self.older = {}, seen
+        for found in (new, parts):
+            self.seen.update(found)
+            for word in [w for w in found if len(w) > LONGEST]:
+                del self.seen[word]
 
     def encode(self, text: str) -> list[int]:
         special, ids = self.vocabulary.special, []
-        for part in special.split(text) if special and any(s in text for s in self.vocabulary.specials) else (text,):
+        for part in special.split(text) if special and any(s in text for s in self.specials) else (text,):
             if part in self.vocabulary.specials:
                 ids.append(self.vocabulary.specials[part])
-                continue
-            for stretch in STRETCH.findall(part):
-                ids += self.seen.get(stretch) or self._stretch(stretch)
+            else:
+                ids += np.frombuffer(b"".join(self.stretches(STRETCH.findall(part))), "<u4").tolist()
         return ids
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts, one behind the other, and where each text's ids start (the last start is the end)."""
+        words, numbers, starts = cut(texts, self.specials)
+        raw, at = gathered(pa.array(self.stretches(words.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()), numbers)
+        return np.frombuffer(raw, "<u4", int(at[-1]) // 4), at[starts] // 4
+
     def decode(self, ids: Iterable[int]) -> str:
         known = self.vocabulary.bytes
         return b"".join([known[i] for i in ids]).decode("utf-8", "replace")
@@ -267,22 +376,14 @@ def codec(vocabulary: str | None = None, lexicon: str | None = None) -> Codec:
 def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (word, n): how often each stretch of at most LONGEST code points occurs in all texts."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        for frame in frames:
-            for text in frame["text"]:
-                counts.update(STRETCH.findall(text))
-                if len(counts) >= COUNTED:
-                    yield rows(counts)
-                    counts.clear()
-        if counts:
-            yield rows(counts)
-
-    def rows(counts: Counter[str]) -> pd.DataFrame:
-        kept = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
-        return pd.DataFrame(kept, columns=["word", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, numbers, _ = cut(batch.column("text"))
+            counts = pa.array(np.bincount(numbers, minlength=len(words)).astype(np.int64))
+            rows = pa.RecordBatch.from_arrays([words.cast(pa.string()), counts], ["word", "n"])
+            yield rows.filter(pc.less_equal(pc.utf8_length(words), LONGEST))
 
-    return docs.select("text").mapInPandas(count, schema(word="string", n="bigint")).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, schema(word="string", n="bigint")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def corpus_lexicon(docs: DataFrame, vocabulary: str | None = None, size: int = LEXICON) -> str:
@@ -309,12 +410,14 @@ def corpus_lexicon(docs: DataFrame, vocabulary: str | None = None, size: int = L
 def encode(docs: DataFrame, lexicon: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """Rows (doc_id, text) to (doc_id, ids)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, lexicon)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [c.encode(t) for t in frame["text"]]})
+        for batch in slices(batches):
+            ids, starts = c.encode_all(batch.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
-    return docs.mapInPandas(run, schema(doc_id="bigint", ids="array<int>"))
+    return docs.mapInArrow(run, schema(doc_id="bigint", ids="array<int>"))
 
 
 def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -335,19 +438,22 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, size: int = LEXIC
     """
     lexicon = corpus_lexicon(docs, vocabulary, size)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(raw: pa.Buffer, edges: np.ndarray, clean: Callable[[bytes], bytes]) -> list[str]:
+        view, ends = memoryview(raw), edges.tolist()
+        return [hashlib.sha256(clean(bytes(view[a:b]))).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, lexicon)
-        names = c.vocabulary.names
-        for frame in frames:
-            counts, digests, texts = [], [], []
-            for text in frame["text"]:
-                ids = c.encode(text)
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-                texts.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": counts, "ids_sha256": digests, "decoded_sha256": texts})
-
-    return docs.mapInPandas(run, schema(doc_id="bigint", n_tokens="bigint", ids_sha256="string", decoded_sha256="string"))
+        for batch in slices(batches):
+            ids, starts = c.encode_all(batch.column("text"))
+            names, at = gathered(c.names, ids)
+            numbered = digests(names, at[starts], lambda part: part[:-1])  # without the last comma
+            texts, at = gathered(c.bytes, ids)
+            decoded = digests(texts, at[starts], lambda part: part.decode("utf-8", "replace").encode())
+            columns = [batch.column("doc_id"), pa.array(np.diff(starts)), pa.array(numbered, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.mapInArrow(run, schema(doc_id="bigint", n_tokens="bigint", ids_sha256="string", decoded_sha256="string"))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
