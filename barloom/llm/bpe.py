@@ -34,6 +34,7 @@ from barloom.llm.stretches import cut, gathered, slices
 LEXICON = 1 << 16  # words compiled at most; all others are merged, so the bound changes no result
 HEAPED, NEVER = 100, 1 << 60  # bytes beyond which merges are kept in a heap; the rank of a pair that never merges
 CACHE, LONGEST = 400_000, 64  # stretches a worker remembers, and code points of the longest one
+COUNTED = 1 << 23  # bytes of text after which a task hands on its counts
 ALIKE = 32  # pre-tokens of one length from which they merge side by side
 
 #: The pre-token pattern of the vocabulary file's kind, and Unicode's white space.
@@ -377,7 +378,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """Rows (word, n): how often each stretch of at most LONGEST code points occurs in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, COUNTED):
             words, numbers, _ = cut(batch.column("text"))
             counts = pa.array(np.bincount(numbers, minlength=len(words)).astype(np.int64))
             rows = pa.RecordBatch.from_arrays([words.cast(pa.string()), counts], ["word", "n"])

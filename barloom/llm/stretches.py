@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 23  # bytes of text cut at once; a longer text is cut alone
+SLICE = 1 << 21  # bytes of text cut at once; a longer text is cut alone
 
 #: Unicode's white space in UTF-8: by one byte, two and three.
 WHITE = np.zeros(256, bool)
@@ -24,11 +24,11 @@ LEADS = np.zeros(256, bool)
 LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches, in runs of about SLICE bytes of text."""
+def slices(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in runs of about SLICE (or most) bytes of text."""
     for batch in batches:
         sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        windows = (np.cumsum(sizes) - sizes) // SLICE
+        windows = (np.cumsum(sizes) - sizes) // (most or SLICE)
         edges = [0, *(np.flatnonzero(np.diff(windows)) + 1).tolist(), len(sizes)]
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:

@@ -13,22 +13,25 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.bpe import CACHE, LONGEST, STRETCH, byte_letters, vocabulary_path
+from barloom.llm.bpe import CACHE, LONGEST, MARKS, vocabulary_path
 from barloom.llm.shared import id_and_text, schema, staged, table
+from barloom.llm.stretches import cut, gathered, slices
 
 SHARD = 1 << 21  # tokens after which a file is closed; only a single longer document makes a longer one
 TEXT = 12 << 20  # bytes of text dealt to a partition
 BLOCK = 512  # bits for each stored count of ones
+SLICED = 1 << 23  # bytes of text encoded together
+LINES = 1000  # stretches in a text that is handed to the library
 END = 0
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks that are neither letters, digits, white space nor an apostrophe
 
 
 class WaveletMatrix:
@@ -67,9 +70,9 @@ class WaveletMatrix:
             counts = np.cumsum(np.bitwise_count(whole.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64), dtype=np.uint64)
             counts = np.concatenate([np.zeros(1, np.uint64), counts])
             planes.append(packer.compress(whole.tobytes() + counts.astype("<u8").tobytes()))
-            low = values[~ones]
+            low = np.compress(~ones, values)
             entries.append((len(low), len(planes[-1])))
-            values = np.concatenate([low, values[ones]])
+            values = np.concatenate([low, np.compress(ones, values)])
         noted = json.dumps(notes, separators=(",", ":")).encode()
         return struct.pack(cls.HEAD, b"WVLT", len(values), depth, len(noted)) + np.asarray(entries, "<u8").tobytes() + noted + b"".join(planes)
 
@@ -154,40 +157,19 @@ class WaveletMatrix:
         for level in range(self.depth - 1, -1, -1):
             ones = np.unpackbits(self.plane(level)[0], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
-            above[~ones] = out[: self.zeros[level]]
-            above[ones] = out[self.zeros[level] :] | out.dtype.type(1 << (self.depth - 1 - level))
+            above[np.flatnonzero(~ones)] = out[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = out[self.zeros[level] :] | out.dtype.type(1 << (self.depth - 1 - level))
             out = above
         return out
 
 
-class Uneven(Exception):
-    """A text whose spaces do not all stand alone between words."""
-
-
-class Remembered(dict):
-    """Values made when first asked for; the last CACHE to twice as many are kept, save long keys and those across lines."""
-
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST and "\n" not in key:
-            if len(self) >= CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class LibraryEncoder:
     """Encodes with the tokenizers library; stretches of text that no pre-token crosses are encoded once and remembered.
 
-    What is remembered of a stretch is its ids as little-endian bytes, so a text's ids are one join. Most texts are cut at single
-    spaces; where a space meets other white space, the stretches are found one by one.
+    What is remembered of a stretch is its ids as little-endian bytes; the last CACHE to twice as many are kept, save long ones. The
+    texts of a slice are cut together, each distinct stretch is looked up once, and the ids are gathered for all its places. The
+    library is asked for all new stretches of a slice at once, a line for each: a line break between two is always a token of its
+    own. A text with a special token is a single stretch, and asked for alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -199,48 +181,65 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.letters = self.library.model, byte_letters()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.stretches, self.spaced = Remembered(self._stretch), Remembered(self._spaced)
+        self.line = self._alone("\n")
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was remembered before the last change
         self.depth = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
-    def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.specials):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        first, *words = text.split(" ")
-        try:
-            raw = b"".join([*map(self.stretches.__getitem__, STRETCH.findall(first)), *map(self.spaced.__getitem__, words)])
-        except Uneven:
-            raw = b"".join(map(self.stretches.__getitem__, STRETCH.findall(text)))
-        return np.frombuffer(raw, "<u4")
-
-    def _spaced(self, word: str) -> bytes:
-        """The ids of a space and what follows it up to the next; neither may meet other white space."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise Uneven
-        parts = STRETCH.findall(f" {word}")
-        return self._stretch(parts[0]) if len(parts) == 1 else b"".join([self.stretches[p] for p in parts])
-
-    def _stretch(self, stretch: str) -> bytes:
-        """The ids of a stretch. Letters are a single pre-token, and marks behind them another."""
-        core = stretch.rstrip(MARKS)
-        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
-            if len(core) == len(stretch):
-                return self._word(stretch)
-            return self.stretches[core] + self.stretches[stretch[len(core) :]]
-        ids = self.library.encode(stretch, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, pretoken: str) -> bytes:
-        """The ids of one pre-token, from the library's model."""
-        if pretoken.isascii():
-            letters = pretoken if pretoken[0] != " " else self.letters[32] + pretoken[1:]
-        else:
-            letters = "".join([self.letters[b] for b in pretoken.encode()])
-        tokens = self.model.tokenize(letters)
-        if len(tokens) == 1:
-            return tokens[0].id.to_bytes(4, "little")
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts, one behind the other, and where each text's ids start (the last start is the end)."""
+        words, numbers, starts = cut(texts, self.specials)
+        known = self.stretches(words.to_numpy(zero_copy_only=False).tolist())
+        raw, at = gathered(pa.array(known, pa.large_binary()), numbers)
+        return np.frombuffer(raw, "<u4", int(at[-1]) // 4), at[starts] // 4
+
+    def stretches(self, words: list[str]) -> list[bytes]:
+        """The ids of stretches, or of texts with special tokens."""
+        found = list(map(self.seen.get, words))
+        if missing := {w: b"" for w, ids in zip(words, found, strict=True) if ids is None}:
+            self._learn(missing)
+            found = [missing[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found
+
+    def _learn(self, new: dict[str, bytes]) -> None:
+        """Find the ids of new stretches, and remember those of short ones. Letters are a pre-token, and marks behind them another."""
+        seen, older = self.seen, self.older
+        new.update((w, older[w]) for w in new.keys() & older.keys())
+        rest = [w for w, ids in new.items() if not ids]
+        held = [s for s in self.specials if s in "\n".join(rest)]
+        new.update((w, self._alone(w)) for w in rest if w.isspace() or any(s in w for s in held))
+        cuts, parts = [], {}  # parts: ids of stretches, or of their letters and marks, that are not remembered
+        for word in rest:
+            core = word.rstrip(MARKS)
+            if new[word]:
+                continue
+            if len(core) < len(word) and core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+                cuts.append((word, core, word[len(core) :]))
+            else:
+                parts[word] = b""
+        parts.update((p, b"") for cut_up in cuts for p in cut_up[1:] if p not in seen and p not in older)
+        parts = dict(zip(parts, self._asked(list(parts)), strict=True))
+        new.update((w, parts[w]) for w in rest if w in parts)
+        new.update((w, b"".join([parts.get(p) or seen.get(p) or older[p] for p in cut_up])) for w, *cut_up in cuts)
+        if len(seen) >= CACHE:
+            self.seen, self.older = {}, seen
+        for found in (new, parts):
+            self.seen.update(found)
+            for word in [w for w in found if len(w) > LONGEST]:
+                del self.seen[word]
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _asked(self, parts: list[str]) -> list[bytes]:
+        """The ids of stretches that are not white space."""
+        lines = ["\n".join([*parts[i : i + LINES], ""]) for i in range(0, len(parts), LINES)]
+        found = self.library.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(x.ids, "<u4") for x in found)])
+        ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]) * 4
+        raw, starts = ids.tobytes(), [0, *(ends + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts[:-1], ends.tolist(), strict=True)]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -261,32 +260,31 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END)
     ordered = docs.repartitionByRange(max(1, -(-size // TEXT)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary or vocabulary_path())
         ids: list[np.ndarray] = []
         names: list[int | None] = []
-        total = seq = 0
+        total = seq = part = 0
 
-        def file(part: int) -> pd.DataFrame:
+        def file() -> pa.RecordBatch:
             image = WaveletMatrix.written(np.concatenate(ids), {"docs": names, "lengths": [len(x) for x in ids]}, encode.depth)
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(names)], "n_tokens": [total], "image": [image]})
-
-        part = 0
-        for frame in frames:
-            part = int(frame["part"].iloc[0]) if len(frame) else part
-            known = frame["doc_id"].notna().to_numpy()
-            for doc, named, text in zip(frame["doc_id"], known, frame["text"], strict=True):
-                tokens = np.append(encode.encode(text), np.uint32(end))
-                ids.append(tokens)
-                names.append(int(doc) if named else None)
-                total += len(tokens)
+            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)]), pa.array([total]), pa.array([image], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, ["part", "seq", "n_docs", "n_tokens", "image"])
+
+        for batch in slices(batches, SLICED):
+            part = batch.column("part")[0].as_py()
+            found, starts = encode.encode_all(batch.column("text"))
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), np.split(found, starts[1:-1]), strict=True):
+                ids.append(np.append(tokens, np.uint32(end)))
+                names.append(doc)
+                total += len(ids[-1])
                 if total >= SHARD:
-                    yield file(part)
+                    yield file()
                     ids, names, total, seq = [], [], 0, seq + 1
         if ids:
-            yield file(part)
+            yield file()
 
-    return staged(ordered.mapInPandas(run, schema(part="int", seq="int", n_docs="bigint", n_tokens="bigint", image="binary")), "wavelet")
+    return staged(ordered.mapInArrow(run, schema(part="int", seq="int", n_docs="bigint", n_tokens="bigint", image="binary")), "wavelet")
 
 
 def read_shards(files: DataFrame) -> DataFrame:

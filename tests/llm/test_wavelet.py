@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -45,3 +46,17 @@ def test_files_equal_the_library(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert wavelet.read_shards(wavelet.write_shards(id_and_text(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
+
+
+def test_texts_encoded_together_have_the_library_s_ids_and_ask_it_once_a_stretch():
+    e = wavelet.LibraryEncoder(bpe.vocabulary_path())
+    asked, real = [], e._asked
+    e._asked = lambda parts: asked.extend(parts) or real(parts)
+    words = [f" {a}{b}{c}" for a in ("re", "Über", "x1", "'") for b in ("tion", "ß", "", "12") for c in ("", ",", "...", "'s", "\n", "  ", "　")]
+    plain = ["".join(words[i % 7 :: 1 + i % 5]) for i in range(60)] + [None, "", " ", "\n x", "é \n  y ", "<|endoftext|"]
+    special = ["a  <|endoftext|> b\n", "<|endoftext|>", " <|endoftext|><|endoftext|>"]
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    for texts in (plain, special + plain, []):
+        ids, starts = e.encode_all(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) > 50
