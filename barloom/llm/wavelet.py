@@ -14,6 +14,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -208,20 +209,25 @@ class LibraryEncoder:
         new.update((w, older[w]) for w in new.keys() & older.keys())
         rest = [w for w, ids in new.items() if not ids]
         held = [s for s in self.specials if s in "\n".join(rest)]
-        new.update((w, self._alone(w)) for w in rest if w.isspace() or any(s in w for s in held))
-        cuts, parts = [], {}  # parts: ids of stretches, or of their letters and marks, that are not remembered
+        single = [w for w in rest if w.isspace() or held and any(s in w for s in held)]
+        new.update(zip(single, map(self._alone, single), strict=True))
+        plain, cuts, cores, marks = [], [], [], []  # flat lists: nothing for the garbage collector to walk
         for word in rest:
             core = word.rstrip(MARKS)
             if new[word]:
                 continue
             if len(core) < len(word) and core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
-                cuts.append((word, core, word[len(core) :]))
+                cuts.append(word)
+                cores.append(core)
+                marks.append(word[len(core) :])
             else:
-                parts[word] = b""
-        parts.update((p, b"") for cut_up in cuts for p in cut_up[1:] if p not in seen and p not in older)
-        parts = dict(zip(parts, self._asked(list(parts)), strict=True))
-        new.update((w, parts[w]) for w in rest if w in parts)
-        new.update((w, b"".join([parts.get(p) or seen.get(p) or older[p] for p in cut_up])) for w, *cut_up in cuts)
+                plain.append(word)
+        parts = dict.fromkeys(p for some in (cores, marks) for p in some if p not in new and p not in seen and p not in older)
+        ids = self._asked([*plain, *parts])
+        new.update(zip(plain, ids, strict=False))
+        parts = dict(zip(parts, ids[len(plain) :], strict=True))
+        first, second = ([parts.get(p) or new.get(p) or seen.get(p) or older[p] for p in some] for some in (cores, marks))
+        new.update(zip(cuts, map(add, first, second), strict=True))
         if len(seen) >= CACHE:
             self.seen, self.older = {}, seen
         for found in (new, parts):
